@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import bpe, chat, dac, media, packing, quality, rules, urls
+from calibra.llm import bpe, chat, dac, jaccard, media, packing, quality, rules, urls
 from calibra.llm.common import table
 from calibra.llm.tokens import tokenizer_path
 
@@ -25,6 +25,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.fit(urls.examples(spark)), URL_RULES)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.clustered(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
@@ -60,6 +64,19 @@ SELECT conv_id, n_turns, n_copies, text FROM u
 WHERE NOT EXISTS (SELECT 1 FROM u AS o WHERE o.n_turns > u.n_turns AND starts_with(o.text, u.text))
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, doc_id, g FROM (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN NULL WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 2], ' ') END AS g
+  FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS i FROM w)) WHERE g IS NOT NULL),
+n AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM s GROUP BY r),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r <> b.r SEMI JOIN f ON a.g = f.g GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS x ON a = x.r JOIN n AS y ON b = y.r WHERE 100 * c >= 90 * (x.n + y.n - c)),
+c AS (SELECT r AS r, r AS k FROM n UNION SELECT l.b, c.k FROM c JOIN l ON l.a = c.r),
+m AS (SELECT c.r, min(n.doc_id) AS component_id FROM c JOIN n ON n.r = c.k GROUP BY c.r)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""
+
 #: Repeats of MIN_REPEAT words or more cover what repeated windows of MIN_REPEAT words cover; the longest one is found by doubling no further than the limit needs.
 RULES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -82,8 +99,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_urls": op3_urls, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_media": op8_media, "op9_tokens": op9_tokens, "op10_rules": lambda s, d: op10_rules(s, d).drop("longest_repeat")}
+    return {"op1_bpe": op1_bpe, "op3_urls": op3_urls, "op4_jaccard": op4_jaccard, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_media": op8_media, "op9_tokens": op9_tokens, "op10_rules": lambda s, d: op10_rules(s, d).drop("longest_repeat")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": CHAT_SQL, "op10_rules": RULES_SQL}
+    return {"op4_jaccard": JACCARD_SQL, "op5_chat": CHAT_SQL, "op10_rules": RULES_SQL}
