@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.llm import bpe, chat, dac, jaccard, media, packing, quality, rules, urls
+from calibra.llm import bpe, chat, dac, jaccard, media, packing, quality, rules, substring, urls
 from calibra.llm.common import table
 from calibra.llm.tokens import tokenizer_path
 
@@ -21,6 +21,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, path, lexicon)
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.spans(table(spark, sf_dir, "documents"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.fit(urls.examples(spark)), URL_RULES)
 
@@ -99,7 +103,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_urls": op3_urls, "op4_jaccard": op4_jaccard, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_media": op8_media, "op9_tokens": op9_tokens, "op10_rules": lambda s, d: op10_rules(s, d).drop("longest_repeat")}
+    return {"op1_bpe": op1_bpe, "op2_substring": op2_substring, "op3_urls": op3_urls, "op4_jaccard": op4_jaccard, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_media": op8_media, "op9_tokens": op9_tokens, "op10_rules": lambda s, d: op10_rules(s, d).drop("longest_repeat")}
 
 
 def oracle_sql() -> dict[str, str]:
