@@ -23,7 +23,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import coded, components, hashed, mixed, pieces, shingles, word_lists, written
+from calibra.llm.common import coded, components, hashed, mixed, most, pieces, shingles, word_lists, written
 
 #: Frequent shingles that the order knows by their frequency, at most: a bound on what is broadcast (about 3 MB).
 FREQUENT = 200_000
@@ -72,14 +72,14 @@ def need(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def frequent(docs: DataFrame, k: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, k: int, size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) of frequent shingles and their counts: each task sends what it meets three times or more.
 
     Counts need not be exact: any order of shingles gives right results, a good one gives short lists.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, total = [], 0
 
         def rows() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -90,14 +90,14 @@ def frequent(docs: DataFrame, k: int, most: int = FREQUENT) -> tuple[np.ndarray,
             for part in pieces(batch, "text"):
                 v, _ = shingle_sets(part.column("text"), k)
                 held.append(v)
-                size += len(v)
-                if size > COUNT_STEP:
+                total += len(v)
+                if total > COUNT_STEP:
                     yield rows()
-                    size = 0
+                    total = 0
         yield rows()
 
     counted = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "t").limit(most).toArrow()
+    top = most(counted, "n", "t", size).toArrow()
     t, n = top["t"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by = np.argsort(t)
     return t[by], n[by]
