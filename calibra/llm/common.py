@@ -50,11 +50,9 @@ def pieces(batch: pa.RecordBatch, column: str):
             yield batch.slice(a, b - a)
 
 
-def word_lists(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in a row, and where each text's words start (one entry more than texts). Null: no words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     words, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
@@ -74,6 +72,14 @@ def coded(words: pa.Array) -> tuple[list[str], np.ndarray]:
     return d.dictionary.to_pylist(), d.indices.to_numpy().astype(np.int64)
 
 
+A_TO_Z = {c: c + 32 for c in range(65, 91)}
+
+
+def lowered(words: list[str]) -> list[str]:
+    """Words with A-Z, and nothing else, in lower case."""
+    return [w.lower() if w.isascii() else w.translate(A_TO_Z) for w in words]
+
+
 def hashed(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 

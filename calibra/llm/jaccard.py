@@ -23,7 +23,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import coded, components, hashed, mixed, most, pieces, shingles, word_lists, written
+from calibra.llm.common import coded, components, hashed, lowered, mixed, most, pieces, shingles, word_lists, written
 
 #: Frequent shingles that the order knows by their frequency, at most: a bound on what is broadcast (about 3 MB).
 FREQUENT = 200_000
@@ -35,9 +35,9 @@ COUNT_STEP = 4_000_000
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingles, ascending, in a row, and where each text's start (one entry more)."""
-    words, starts = word_lists(texts, lower=True)
+    words, starts = word_lists(texts)
     distinct, codes = coded(words)
-    h = hashed(distinct)[codes] if distinct else np.empty(0, np.uint64)
+    h = hashed(lowered(distinct))[codes] if distinct else np.empty(0, np.uint64)
     n = np.diff(starts)
     doc = np.repeat(np.arange(len(n)), n)
     w = shingles(h, k)
