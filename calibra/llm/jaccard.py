@@ -29,6 +29,8 @@ from calibra.llm.common import coded, components, hashed, lowered, mixed, most,
 FREQUENT = 200_000
 #: The longest adaptive prefixes ask for this many shared shingles; what a verification costs beside a posting.
 MOST_MATCHES, VERIFY_COST = 3, 8.0
+#: Words of the filter that picks texts for verification, at most (8 MB).
+FILTER_WORDS = 1 << 20
 #: Shingles that a counting task holds.
 COUNT_STEP = 4_000_000
 
@@ -127,20 +129,44 @@ def prefixes(docs: DataFrame, k: int, percent: int, order: Broadcast) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of some doc_ids: ten bits for each id, FILTER_WORDS words of 64 bits at most.
+
+    A full filter lets more rows through, which the exact join after it drops.
+    """
+    n = ids.count()
+    size = 1 << min(FILTER_WORDS.bit_length() - 1, max(4, (n * 10 // 64).bit_length()))
+    bits = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(s), "doc_id"), F.lit(size * 64)) for s in range(4)))).alias("b"))
+    words = bits.groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return out
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(s1, s2, items) of the classes in wanted (doc_id, s1, s2); items: the whole set, ascending, as bytes."""
+    """(cid, items) of the classes in wanted (cid, doc_id, s1, s2); items: the whole set, ascending, as bytes.
+
+    Texts stay where they are read: a filter of the wanted ids picks the rows whose sets are made and sent.
+    """
+    chosen = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select("doc_id").distinct()))  # FILTER_WORDS words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = chosen.value
         for batch in batches:
+            b = batch.column("b").flatten().to_numpy().reshape(-1, 4)
+            batch = batch.filter(pa.array((f[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).all(axis=1)))
             for part in pieces(batch, "text"):
                 v, starts = shingle_sets(part.column("text"), k)
                 s1, s2 = signatures(v, starts)
-                keep = (s1 == part.column("s1").to_numpy()) & (s2 == part.column("s2").to_numpy())
-                items = pa.array([v[starts[i] : starts[i + 1]].tobytes() for i in np.flatnonzero(keep)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("cid").filter(pa.array(keep)), items], ["cid", "items"])
+                items = pa.array([v[x:y].tobytes() for x, y in zip(starts, starts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s1), pa.array(s2), items], ["doc_id", "s1", "s2", "items"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("cid", "doc_id", "s1", "s2"), "doc_id")
-    return rows.mapInArrow(run, "cid long, items binary").groupBy("cid").agg(F.first("items").alias("items"))
+    id_ = F.col("doc_id").cast("long")
+    size = len(chosen.value) * 64
+    # rows without an id hash as their seed does
+    cells = docs.select(id_.alias("doc_id"), "text", F.array(*(F.pmod(F.xxhash64(F.lit(s), id_), F.lit(size)) for s in range(4))).alias("b"))
+    made = cells.mapInArrow(run, "doc_id long, s1 long, s2 long, items binary")
+    return made.join(wanted, ["doc_id", "s1", "s2"]).groupBy("cid").agg(F.first("items").alias("items"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,8 +204,12 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     p1 = f"(n - ((n * {percent} + 99) div 100) + 1)"
     postings = written(cells.join(df, "t").withColumn("p", F.expr(p1)), "postings")
 
-    wanted = rows.select(F.col("uid").alias("cid"), "doc_id", "s1", "s2").join(postings.select("cid").distinct(), "cid", "left_semi")
-    sets = written(sets_of(docs, wanted, k), "sets")
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among candidate pairs (a, b), by the whole sets of the classes that occur in them."""
+        pairs = written(pairs, f"{name}_pairs")
+        ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        wanted = written(rows.select(F.col("uid").alias("cid"), "doc_id", "s1", "s2").join(ends, "cid", "left_semi"), f"{name}_ends")
+        return written(verified(pairs, written(sets_of(docs, wanted, k), f"{name}_sets"), percent), f"{name}_links")
 
     def may_link(level: str) -> str:
         """Whether two rows (n, i) and (m, j) of one shingle can belong to a link, with `level` matches so far."""
@@ -190,7 +220,7 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     near = first.join(hubs, "t").where("cid <> b").select(F.col("cid").alias("a"), "b", "n", "i", "j")
     sizes = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"))
     near = near.join(sizes, "b").where(may_link("1")).select("a", "b").distinct()
-    links = written(verified(near, sets, percent), "hub_links")
+    links = checked(near, "hub")
 
     comp = components(links)
     placed = postings.join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -207,7 +237,7 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     right = placed.select(F.col("t").alias("t2"), F.col("l").alias("l2"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), "own", F.col("component").alias("d"))
     met = left.join(right, F.expr(f"t = t2 and l = l2 and c <> d and (own > l or a < b) and {may_link('l')}"))
     found = met.groupBy("a", "b", "l").agg(F.count("*").alias("shared")).where("shared >= l").select("a", "b").distinct()
-    return classes, members, links.unionByName(verified(found, sets, percent))
+    return classes, members, links.unionByName(checked(found, "cross"))
 
 
 def clustered(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
