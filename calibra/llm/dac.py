@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm.common import pieces, ragged, shared_folder, written
@@ -140,29 +140,28 @@ def write(docs: DataFrame, path: str, end: int, folder: str, key: str = "doc_id"
     return files.withColumn("start", F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
 
 
-def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """What the files hold: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def read(folder: str, files: DataFrame) -> DataFrame:
+    """What the files hold: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. A task reads its files by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for raw, first in zip(batch.column("content"), batch.column("start").to_pylist()):
-                f = Reader(raw.as_buffer())
+            for name, first in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
+                with store.open_input_file(f"{path}/{name}") as raw:
+                    f = Reader(raw.readall())
                 ids, cuts = f.all(), f.starts.tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f.doc_ids), pa.array(f.starts[:-1] + first), pa.array(np.diff(f.starts)), pa.array([zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    raw = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "part-*.dac").load(folder)
-    raw = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return raw.join(F.broadcast(files.select("file", "start")), "file").select("content", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(files.count(), 16 * files.sparkSession.sparkContext.defaultParallelism))
+    return files.select("file", "start").repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
     """Writes all documents to a new shared folder and reads them back."""
     folder = shared_folder(docs.sparkSession, "dac")
-    files = write(docs, path, end, folder)
-    if files.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read(docs.sparkSession, folder, files)
+    return read(folder, write(docs, path, end, folder))
