@@ -3,8 +3,7 @@
 A document's ids end with an end id; one that is longer than a sequence is cut into full sequences, behind a first
 piece that may be shorter. Full pieces are sequences of their own. The others are dealt into blocks of about
 BLOCK_ITEMS; each block is evolved on ISLANDS tasks, between epochs each island's elite migrates to the next one, and
-the best elite of all islands stands. A block that reaches its lower bound, the sum of lengths over the capacity,
-ends at once, for no packing is better. Null and empty texts are pieces of one id; repeated rows are packed each;
+the best elite of all islands stands. A block that reaches its lower bound ends at once, for no packing is better. Null and empty texts are pieces of one id; repeated rows are packed each;
 an empty table gives no rows.
 """
 
@@ -95,6 +94,22 @@ def fitted(sizes: list[int], order: list[int], capacity: int, kept: Packing = ()
     return list(zip(bins.free, bins.items))
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Bins that any packing needs. For each a up to half the capacity: documents over capacity - a share a bin with none
+    of size a or more, those over half of it with none of their kind, and what of the sizes from a to half doesn't fit
+    beside the latter needs bins of its own (the bound of Martello and Toth)."""
+    if not sizes:
+        return 0
+    count = np.bincount(np.array(sizes), minlength=capacity + 1).astype(np.int64)
+    n, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
+    a, half = np.arange(capacity // 2 + 1), capacity // 2 + 1  # sizes over half the capacity start at `half`
+    over = n[-1] - n[half]
+    beside = n[capacity - a + 1] - n[half]
+    room = beside * capacity - (total[capacity - a + 1] - total[half])
+    rest = total[half] - total[a]
+    return int((over + np.maximum(0, -(-(rest - room) // capacity))).max())
+
+
 def fitness(p: Packing, capacity: int) -> tuple[int, int]:
     """Fewer bins first, then fuller full ones."""
     return -len(p), sum((capacity - f) ** 2 for f, _ in p)
@@ -116,27 +131,31 @@ def crossed(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.ran
     for _ in range(min(len(rest), 1 + len(b) // 50)):
         displaced += rest.pop()[1]
     displaced.sort(key=lambda i: -sizes[i])
-    return fitted(sizes, displaced, capacity, inject + rest)
+    # bins with less room than the smallest displaced document needs stay as they are
+    least = sizes[displaced[-1]] if displaced else capacity + 1
+    kept = inject + rest
+    return [x for x in kept if x[0] < least] + fitted(sizes, displaced, capacity, [x for x in kept if x[0] >= least])
 
 
 def evolved(sizes: list[int], capacity: int, seed: list[int], elites: list[Packing] = ()) -> Packing:
     """The best packing that this island finds; elites: packings that came from others."""
     rng = np.random.default_rng(seed)
-    bound = -(-sum(sizes) // capacity)
+    bound = lower_bound(sizes, capacity)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     people = [*elites, fitted(sizes, order, capacity)]
     while len(people) < POPULATION and min(map(len, people)) > bound:
         noise = np.array(sizes) * rng.uniform(0.7, 1.3, len(sizes))
         people.append(fitted(sizes, np.argsort(-noise).tolist(), capacity))
-    people.sort(key=lambda p: fitness(p, capacity), reverse=True)
+    ranked = sorted(((fitness(p, capacity), p) for p in people), key=lambda x: x[0], reverse=True)
     for _ in range(GENERATIONS):
-        if len(people[0]) <= bound:
+        if len(ranked[0][1]) <= bound:
             break
-        i, j = rng.choice(len(people), 2, replace=False) if len(people) > 1 else (0, 0)
-        people.append(crossed(people[i], people[j], sizes, capacity, rng))
-        people.sort(key=lambda p: fitness(p, capacity), reverse=True)
-        del people[POPULATION:]
-    return people[0]
+        i, j = rng.choice(len(ranked), 2, replace=False) if len(ranked) > 1 else (0, 0)
+        child = crossed(ranked[i][1], ranked[j][1], sizes, capacity, rng)
+        ranked.append((fitness(child, capacity), child))
+        ranked.sort(key=lambda x: x[0], reverse=True)
+        del ranked[POPULATION:]
+    return ranked[0][1]
 
 
 def pack(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS) -> DataFrame:

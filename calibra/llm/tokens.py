@@ -167,11 +167,14 @@ class ByteLevel:
         self.pattern = regex.compile(self.SPLIT)
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
-    def irregular(self, key: str) -> bool:
-        body = key[1:] if key[0] in "\n\x02 " else key
-        if not body:
-            return key != "\x02"
-        return body[0].isspace() or body[-1].isspace() or any(s in body for s in self.special)
+    @staticmethod
+    def irregular(keys: pa.Array) -> np.ndarray:
+        """Keys that white space begins or ends, or that hold nothing else, beside their mark."""
+        marked = pc.or_(pc.starts_with(keys, "\n"), pc.starts_with(keys, "\x02"))
+        body = pc.if_else(marked, pc.utf8_slice_codeunits(keys, 1, None), keys)
+        size = pc.binary_length(body)
+        odd = pc.or_(pc.not_equal(pc.binary_length(pc.utf8_trim_whitespace(body)), size), pc.and_(pc.equal(size, 0), pc.not_equal(keys, "\x02")))
+        return odd.to_numpy(zero_copy_only=False)
 
     def whole(self, text: str) -> bytes:
         out = []
@@ -183,21 +186,26 @@ class ByteLevel:
         return b"".join(out)
 
     def pieces(self, keys: list[str]) -> list[bytes]:
-        cut = [self.pattern.findall(k) for k in keys]
+        # a space and letters, or letters, are one pre-token
+        cut = [[k] if k[1:].isalpha() and (k[0] == " " or k[0].isalpha()) else self.pattern.findall(k) for k in keys]
         distinct = list(dict.fromkeys(x for c in cut for x in c))
         ids = dict(zip(distinct, self.parts(distinct), strict=True))
-        return [b"".join(map(ids.__getitem__, c)) for c in cut]
+        return [ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c)) for c in cut]
 
     def keys(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, each piece's key, where each text's pieces start, and which texts need the whole pattern."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring(texts, "\x02").to_numpy(zero_copy_only=False).copy()
+        odd = pc.match_substring(texts, "\x02")
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        odd = odd.to_numpy(zero_copy_only=False).copy()
         marked = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\x02", pc.replace_substring(texts, "\n", " \n"), "")))
         lists = pc.split_pattern(marked, " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
         starts -= starts[0]
-        distinct, codes = coded(lists.flatten())
-        bad = np.fromiter((not k or self.irregular(k) for k in distinct), bool, len(distinct))
+        cells = lists.flatten().dictionary_encode()
+        distinct, codes = cells.dictionary.to_pylist(), cells.indices.to_numpy().astype(np.int64)
+        bad = self.irregular(cells.dictionary)
         if bad.any():
             odd |= np.add.reduceat(np.concatenate([bad[codes], [False]]).astype(np.int64), starts[:-1])[: len(odd)] > 0
         return [k if k[:1] == "\n" else k[1:] if k[:1] == "\x02" else " " + k for k in distinct], codes, starts, odd
