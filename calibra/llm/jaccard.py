@@ -200,9 +200,13 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     classes = written(classes, "classes")
     chosen = rows.select("uid", F.col("doc_id").alias("own_doc"), "prefix", "n", "s1", "s2").join(classes.select(F.col("cid").alias("uid")), "uid")
     cells = chosen.select(F.col("uid").alias("cid"), "n", F.posexplode("prefix").alias("i", "t"))
-    df = cells.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    df = cells.groupBy("t").agg(F.count("*").alias("df"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("total")).where("df > 1")
+    # of two or three holders all sizes are known: who has none of a like size near it can't link by this shingle
+    like = lambda a, b: f"{percent} * greatest({a}, {b}) <= 100 * least({a}, {b})"
+    mid = "(total - lo - hi)"
+    alone = f"(df = 2 and not ({like('lo', 'hi')})) or (df = 3 and not case n when {mid} then {like('lo', 'n')} or {like('hi', 'n')} else {like('n', mid)} end)"
     p1 = f"(n - ((n * {percent} + 99) div 100) + 1)"
-    postings = written(cells.join(df, "t").withColumn("p", F.expr(p1)), "postings")
+    postings = written(cells.join(df, "t").where(f"not ({alone})").drop("lo", "hi", "total").withColumn("p", F.expr(p1)), "postings")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         """The links among candidate pairs (a, b), by the whole sets of the classes that occur in them."""
