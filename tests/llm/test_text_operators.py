@@ -304,3 +304,32 @@ def test_quality(spark, docs, empty):
     assert {x.score for x in quality.scored(docs, none).collect()} == {0.5} and quality.scored(empty, none).count() == 0
     held = {x.doc_id: x.h for x in d.select("doc_id", quality.held_out().alias("h")).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in held.items())
+
+
+def planted(edit, similarity, pairs=30, length=60, seed=1):
+    """Rows of pairs of documents (2i, 2i + 1) that share one passage, edited in the later one, and its words there."""
+    r, rows, where = random.Random(seed), [], {}
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    for i in range(pairs):
+        base, a, b = words(length), words(r.randint(60, 120)), words(r.randint(60, 120))
+        p = list(base)
+        for at in sorted(r.sample(range(1, length - 1), round(length * (1 - similarity))), reverse=True):
+            p[at : at + (edit != "insert")] = [] if edit == "delete" else words(1)
+        rows += [(2 * i, " ".join(a + base + words(90))), (2 * i + 1, " ".join(b + p + words(90)))]
+        where[2 * i + 1] = set(range(len(b), len(b) + len(p)))
+    return rows, where
+
+
+def covered(spark, rows):
+    found = defaultdict(set)
+    for r in substring.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id] |= set(range(r.start, r.end))
+    return found
+
+
+@pytest.mark.parametrize(("edit", "similarity", "least"), [("insert", 59 / 60, 1.0), ("insert", 0.9, 0.98), ("delete", 0.9, 0.98), ("insert", 0.8, 0.75), ("delete", 0.85, 0.75), ("replace", 0.9, 0.85)])
+def test_edited_passages_are_found(spark, edit, similarity, least):
+    rows, where = planted(edit, similarity)
+    found = covered(spark, rows)
+    assert sum(len(found[i] & w) >= 0.75 * len(w) for i, w in where.items()) >= least * len(where)
+    assert all(len(found[i] - where.get(i, set())) <= 2 for i, _ in rows)
