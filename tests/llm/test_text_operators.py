@@ -333,3 +333,19 @@ def test_edited_passages_are_found(spark, edit, similarity, least):
     found = covered(spark, rows)
     assert sum(len(found[i] & w) >= 0.75 * len(w) for i, w in where.items()) >= least * len(where)
     assert all(len(found[i] - where.get(i, set())) <= 2 for i, _ in rows)
+
+
+@pytest.mark.parametrize("parts", [(40, 40), (20, 20, 20), (30, 30, 30), (45, 45, 45), (19, 19, 19)])
+def test_exact_passages_of_sentences_that_earlier_documents_have(spark, parts):
+    r, rows, where = random.Random(6), [], {}
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    for i in range(40):
+        sentences = [words(n) for n in parts]
+        for j, s in enumerate(sentences):
+            rows.append((1000 * j + i, " ".join(words(70) + s + words(70))))
+        for at in (10_000 + i, 20_000 + i):
+            head = words(r.randint(60, 90))
+            rows.append((at, " ".join(head + sum(sentences, []) + words(70))))
+            where[at] = set(range(len(head), len(head) + sum(parts)))
+    found = covered(spark, rows)
+    assert all(where[i] <= found[i] for i in where if i >= 20_000)
