@@ -349,3 +349,21 @@ def test_exact_passages_of_sentences_that_earlier_documents_have(spark, parts):
             where[at] = set(range(len(head), len(head) + sum(parts)))
     found = covered(spark, rows)
     assert all(where[i] <= found[i] for i in where if i >= 20_000)
+
+
+def test_chains_below_similarity_are_split(spark):
+    r, rows, where = random.Random(8), [], {}
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    for i in range(20):
+        blocks = [words(r.choice([52, 60, 70])) for _ in range(5)]
+        earlier, later, own = [], words(60), set()
+        for b in blocks:
+            own |= set(range(len(later), len(later) + len(b)))
+            earlier, later = earlier + b + words(45), later + b
+            later += words(3)
+        rows += [(2 * i, " ".join(words(60) + earlier)), (2 * i + 1, " ".join(later + words(60)))]
+        where[2 * i + 1] = own
+    found = covered(spark, rows)
+    assert all(w <= found[i] for i, w in where.items())
+    cells = np.array([[0, 20, 0], [21, 30, 22], [30, 60, 80]])
+    assert [len(p) for p in substring.split(cells)] == [2, 1]
