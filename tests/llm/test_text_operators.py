@@ -367,3 +367,12 @@ def test_chains_below_similarity_are_split(spark):
     assert all(w <= found[i] for i, w in where.items())
     cells = np.array([[0, 20, 0], [21, 30, 22], [30, 60, 80]])
     assert [len(p) for p in substring.split(cells)] == [2, 1]
+
+
+def test_passages_at_the_promised_similarity_are_found(spark):
+    rows, where = planted("replace", 0.8, pairs=60)
+    found = covered(spark, rows)
+    assert sum(len(found[i] & w) >= 0.75 * len(w) for i, w in where.items()) >= 0.9 * len(where)
+    rows, where = planted("replace", 0.85, pairs=60)
+    found = covered(spark, rows)
+    assert sum(len(found[i] & w) >= 0.75 * len(w) for i, w in where.items()) >= 0.98 * len(where)
