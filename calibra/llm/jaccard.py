@@ -166,7 +166,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     # rows without an id hash as their seed does
     cells = docs.select(id_.alias("doc_id"), "text", F.array(*(F.pmod(F.xxhash64(F.lit(s), id_), F.lit(size)) for s in range(4))).alias("b"))
     made = cells.mapInArrow(run, "doc_id long, s1 long, s2 long, items binary")
-    return made.join(wanted, ["doc_id", "s1", "s2"]).groupBy("cid").agg(F.first("items").alias("items"))
+    # a class's row may have no id
+    ends = wanted.select("cid", F.col("doc_id").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))
+    return made.join(ends, same).groupBy("cid").agg(F.first("items").alias("items"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -376,3 +376,11 @@ def test_passages_at_the_promised_similarity_are_found(spark):
     rows, where = planted("replace", 0.85, pairs=60)
     found = covered(spark, rows)
     assert sum(len(found[i] & w) >= 0.75 * len(w) for i, w in where.items()) >= 0.98 * len(where)
+
+
+def test_jaccard_links_copies_of_a_row_without_id(spark):
+    base = prose(120, 77)
+    near = base.replace(base.split()[60], "zzz", 1)
+    df = spark.createDataFrame([(None, base), (5, base), (6, base), (9, near), (12, prose(80, 78))], "doc_id long, text string").coalesce(1)
+    found = {(r.doc_id, r.component_id) for r in jaccard.clustered(df, 3, 90).collect()}
+    assert found == {(None, 5), (5, 5), (6, 5), (9, 5), (12, 12)}
