@@ -23,7 +23,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import most, pieces
+from calibra.llm.common import freed, most, pieces, written
 from calibra.llm.tokens import IDS, ByteLevel, Merges, specials
 
 #: Words in the lexicon at most: a bound on the driver's work and on what is broadcast (about 2 MB).
@@ -205,7 +205,9 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text: str = "text") -> bytes:
     """Compiles the `words` most frequent words of all texts (ties: by word)."""
-    top = [r.word for r in most(word_counts(docs, path, text).where("word <> ''"), "n", "word", words).select("word").collect()]
+    counted = written(word_counts(docs, path, text).where("word <> ''"), "counted")
+    top = [r.word for r in most(counted, "n", "word", words).select("word").collect()]
+    freed(counted)
     ids = Merges(path)(top)
     return compile_lexicon((w.encode(), x) for w, x in zip(top, ids))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +25,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset, a temporary folder in
+    local mode; on a cluster an error, since executors would each write to their own disk."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
     if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="calibra-")
-        spark.sparkContext.setCheckpointDir(base)
+        found = context._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            base = found.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            base = "file://" + tempfile.mkdtemp(prefix="calibra-")
+            context.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: later plans start from files that outlive an executor."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+#: Spark removes a plan's shuffle files when it ends, instead of when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, over: Iterable[DataFrame] = ()) -> DataFrame:
+    """df, written to the shared folder and read back: later plans start from files that outlive an executor.
+
+    over: what earlier calls returned and no later plan reads; their folders go once df is written.
+    """
+    spark = df.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.parquet(path)
+    out._folder = path
+    freed(*over)
+    return out
+
+
+def freed(*found: DataFrame) -> None:
+    """Deletes the folders of what written() returned. Only for intermediates that no plan reads any more."""
+    for df in found:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pieces(batch: pa.RecordBatch, column: str):
@@ -129,20 +160,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = written(small, "edges")
+        e = written(small, "edges", over=[e])
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not converge")
-    return e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return written(found.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components", over=[e])
 
 
 def most(counted: DataFrame, n: str, tie: str, k: int) -> DataFrame:
-    """The k rows of largest n (ties: by `tie`). A histogram of the logarithm of n finds how far down they reach, so
-    little more than k rows are put in order, however many partitions there are."""
-    counted = written(counted, "counted")
+    """The k rows of largest n (ties: by `tie`) of what written() returned. A histogram of the logarithm of n finds how far
+    down they reach, so little more than k rows are put in order, however many partitions there are."""
     level = F.floor(F.log2(n) * 8)
     low, total = 0, 0
     for r in sorted(counted.groupBy(level.alias("b")).count().collect(), key=lambda r: -r.b):  # 504 rows at most
@@ -152,6 +183,35 @@ def most(counted: DataFrame, n: str, tie: str, k: int) -> DataFrame:
     return counted.where(level >= low).orderBy(F.desc(n), tie).limit(k)
 
 
+#: Words of a filter of document ids, at most (8 MB); bits that it has of each id.
+FILTER_WORDS, FILTER_BITS = 1 << 20, 4
+
+
+def filter_cells(key: str) -> Column:
+    """What in_filter() looks up for a row's id: hashes of it. Rows without an id hash as their seed does."""
+    return F.array(*(F.xxhash64(F.lit(s), F.col(f"`{key}`").cast("long")) for s in range(FILTER_BITS)))
+
+
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of some doc_ids (column doc_id): ten bits or more for each id, FILTER_WORDS words of 64 bits at most.
+
+    It never misses an id. A full one lets more rows through, which the exact join behind it drops.
+    """
+    n = ids.count()
+    size = 1 << min(FILTER_WORDS.bit_length() - 1, max(4, (n * 10 // 64).bit_length()))
+    bits = ids.select(F.explode(filter_cells("doc_id")).alias("b")).select(F.expr(f"b & {size * 64 - 1}L").alias("b"))
+    words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(found: np.ndarray, cells: pa.ListArray) -> np.ndarray:
+    """Which rows' cells a filter has."""
+    b = cells.flatten().to_numpy().reshape(-1, FILTER_BITS) & np.int64(len(found) * 64 - 1)
+    return (found[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).all(axis=1)
+
+
 def crc32_text(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

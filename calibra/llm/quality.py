@@ -100,7 +100,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> dict:
             continue
         w = _weights([rows[i] for i in train], y[train])
         margins[test] = [w[rows[i]].sum() + w[DIMS] for i in test]
-    a, b, target = 1.0, 0.0, (y + 1) / 2
+    a, b = 1.0, 0.0
     target = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
     for _ in range(50):  # Newton steps of the logistic fit
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
@@ -117,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     # at most max_rows ids and labels
     known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "label")
+    # repeated rows of an id count once (that of the least text), before any of them is sent
+    rows = docs.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, ids = [], [], []
@@ -127,10 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
                 x += np.split(f, np.searchsorted(d, np.arange(1, part.num_rows)))
                 y += part.column("label").to_pylist()
                 ids += part.column("doc_id").to_pylist()
-        seen: dict[int, int] = {}
-        for i, k in enumerate(ids):
-            seen.setdefault(k, i)  # repeated rows of an id count once, so the bound holds
-        order = [seen[k] for k in sorted(seen)]
+        order = sorted(range(len(ids)), key=ids.__getitem__)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows([x[i] for i in order], np.array([y[i] for i in order], float)))], pa.binary())], ["model"])
 
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()
@@ -164,6 +162,19 @@ def scored(docs: DataFrame, model: Broadcast) -> DataFrame:
     return docs.select(*names).mapInArrow(run, schema)
 
 
+def filtered(docs: DataFrame, model: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score as well as the threshold or better, with all their columns."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _model(model.value)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                yield part.filter(pa.array(scores(part.column("text"), m) >= threshold)).select(names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     """Rows that a fit never sees."""
     return F.coalesce(crc32_text(column) % 4 == 2, F.lit(False))

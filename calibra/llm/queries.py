@@ -30,7 +30,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.clustered(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard.clustered(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,7 +220,7 @@ def test_jaccard_by_brute_force(spark, k, percent):
     rows += [(2000 + i, t) for i, t in enumerate(TEXTS)] + [(2003, "one")]
     r.shuffle(rows)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")
-    found = sorted(tuple(x) for x in jaccard.clustered(df, k, percent).collect())
+    found = sorted(tuple(x) for x in jaccard.clustered(df, k, percent).select("doc_id", "n_shingles", "component_id").collect())
     assert found == brute_components(rows, k, percent)
 
 
@@ -260,14 +260,83 @@ def test_repeated_passages_are_found(spark, docs, empty):
 
 def test_chains_by_brute_force():
     r = random.Random(3)
-    for _ in range(60):
-        pts = sorted({(r.randint(0, 60), r.randint(0, 60)) for _ in range(r.randint(1, 14))})
-        score = {}
-        for y, x in pts:
-            score[y, x] = 1 + max([0] + [score[p] - 0.04 * (y - p[0] + x - p[1]) for p in score if p[0] < y and p[1] < x])
-        y0, y1, x0, x1 = substring.chains(np.array([p[0] for p in pts]), np.array([p[1] for p in pts]), 5, 0.04)[0]
-        assert any(abs(score[p] - max(score.values())) < 1e-9 and (p[0] + 5, p[1] + 5) == (y1, x1) for p in pts)
-        assert y0 < y1 and x0 < x1
+    for _ in range(200):
+        cells = sorted({(r.randint(0, 80), r.randint(0, 80), r.randint(5, 20)) for _ in range(r.randint(1, 14))})
+        y0, x0, n = (list(c) for c in zip(*cells))
+        y1, x1 = [a + k for a, k in zip(y0, n)], [a + k for a, k in zip(x0, n)]
+        score = []
+        for i in range(len(cells)):
+            before = [score[j] - substring.GAP_COST * (y0[i] - y1[j] + x0[i] - x1[j]) for j in range(i) if y1[j] - 4 <= y0[i] and x1[j] - 4 <= x0[i]]
+            score.append(n[i] + max([0, *before]))
+        found = substring.linked(y0, y1, x0)
+        assert sorted(i for c in found for i in c) == list(range(len(cells)))
+        whole = lambda c: sum(n[i] for i in c) - substring.GAP_COST * sum(y0[b] - y1[a] + x0[b] - x1[a] for a, b in zip(c, c[1:]))
+        assert max(map(whole, found)) == pytest.approx(max(score)) or any(y0[b] - y1[a] > substring.REACH or x0[b] - x1[a] > substring.REACH for c in [range(len(cells))] for a in c for b in c if a < b)
+
+
+def test_boxes():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 1000):
+        columns = [r.integers(-(2**63), 2**63 - 1, n), r.integers(0, 9, n), np.full(n, -(2**63))]
+        assert all((a == b).all() for a, b in zip(columns, substring.unboxed(substring.boxed(columns), 3), strict=True))
+
+
+def every_span(texts):
+    """Words of each text that lie in a passage shared with an earlier one, by all five-word matches of all pairs."""
+    rows = [np.array([hash(w) & 0xFFFFFFFF for w in lowered(t.split())], np.uint32) for t in texts]
+    found = defaultdict(set)
+    for i, y in enumerate(rows):
+        for x in rows[:i]:
+            where = defaultdict(list)
+            for j in range(len(x) - 4):
+                where[x[j : j + 5].tobytes()].append(j)
+            hits = [(a, b) for a in range(len(y) - 4) for b in where.get(y[a : a + 5].tobytes(), ())]
+            if hits:
+                a, b = np.array(hits).T
+                _, y0, y1, x0, _ = substring.runs(np.zeros(len(a), np.uint64), a, b, np.full(len(a), 5))
+                cells = np.stack([y0, y1, x0], axis=1)
+                for c in substring.linked(y0.tolist(), y1.tolist(), x0.tolist()):
+                    for _, s, e, *_ in substring.passages([y], [x], [cells[c]], 50, 0.8):
+                        found[i] |= set(range(s, e))
+    return found
+
+
+def test_recall_against_all_pairs(spark):
+    r = random.Random(12)
+    quotes = [prose(r.randint(8, 30), 900 + i).split() for i in range(20)]
+    passages = [prose(r.randint(55, 140), 700 + i).split() for i in range(12)]
+    texts = []
+    for i in range(60):
+        words = prose(r.randint(20, 80), 5000 + i).split()
+        for _ in range(r.randint(0, 3)):
+            p = list(r.choice(passages))
+            for at in r.sample(range(len(p)), int(len(p) * r.choice([0, 0, 0.05, 0.1, 0.15]))):
+                p[at] = r.choice(VOCABULARY)
+            words += r.choice(quotes) + p + prose(r.randint(5, 40), r.random()).split()
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want, found = every_span(texts), covered(spark, rows)
+    both = sum(len(want[i] & found[i]) for i in range(60))
+    assert both >= 0.98 * sum(map(len, want.values())) and both >= 0.98 * sum(map(len, found.values()))
+
+
+def test_passages_of_repeated_ids_and_within_a_text(spark):
+    a, b, c = prose(80, 60), prose(80, 61), prose(80, 62)
+    rows = [(1, a), (1, b), (1, b), (2, prose(30, 63) + " " + b), (None, a), (3, c + " " + prose(70, 64) + " " + c), (4, "x y z " * 100)]
+    df = spark.createDataFrame([(i, t, 1, "q") for i, t in rows], "doc_id long, text string, b int, row string")
+    found = substring.spans(df)
+    assert [(r.doc_id, r.version, r.start, r.end, r.src_doc_id, r.src_version) for r in found.collect()] == [(2, 0, 30, 110, 1, substring.version_of(b))]
+    left = substring.without_spans(df, found)
+    assert left.columns == df.columns and sorted(map(str, (tuple(x) for x in left.collect()))) == sorted(str((i, prose(30, 63) + " " if i == 2 else t, 1, "q")) for i, t in rows)
+    within = {r.doc_id: (r.start, r.end, r.src_start) for r in substring.spans(df, within=True).where("doc_id = src_doc_id").collect()}
+    assert within == {3: (150, 230, 0), 4: (51, 300, 0)}
+
+
+def test_a_very_common_passage(spark):
+    p = prose(60, 33)
+    rows = [(i, prose(20 + i % 7, 4000 + i) + " " + p) for i in range(300)]
+    found = covered(spark, rows)
+    assert all(set(range(20 + i % 7, 80 + i % 7)) <= found[i] for i in range(1, 300)) and not found[0]
 
 
 def test_urls(spark):
@@ -384,3 +453,13 @@ def test_jaccard_links_copies_of_a_row_without_id(spark):
     df = spark.createDataFrame([(None, base), (5, base), (6, base), (9, near), (12, prose(80, 78))], "doc_id long, text string").coalesce(1)
     found = {(r.doc_id, r.component_id) for r in jaccard.clustered(df, 3, 90).collect()}
     assert found == {(None, 5), (5, 5), (6, 5), (9, 5), (12, 12)}
+
+
+def test_one_of_each(spark, docs, empty):
+    a, b = prose(100, 77), prose(100, 78)
+    near = a.replace(a.split()[60], "zzz", 1)
+    rows = [(1, a), (1, b), (1, b), (2, near), (3, b + " x"), (None, near), (None, prose(90, 79)), (None, prose(90, 79)), (None, prose(90, 80)), (4, None), (4, None), (4, " "), (5, "one two")]
+    df = spark.createDataFrame([(i, t, 3, 4.0, "r") for i, t in rows], "doc_id long, text string, id int, s1 double, row string").repartition(3)
+    found = sorted((str(r.doc_id), r.text or "") for r in jaccard.one_of_each(df).collect())
+    assert found == sorted((str(i), t or "") for i, t in [(1, a), (1, b), (None, prose(90, 79)), (None, prose(90, 80)), (4, None), (4, None), (4, " "), (5, "one two")])
+    assert jaccard.one_of_each(df).schema == df.schema and jaccard.one_of_each(empty).count() == 0
