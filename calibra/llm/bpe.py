@@ -2,8 +2,9 @@
 
 The corpus's most frequent pre-tokens are compiled, with their ids, into an automaton that shares prefixes and
 suffixes; numbers on its arcs add up to a word's place in the table of ids. Workers map the compiled file into
-memory. A pre-token that it lacks is merged exactly. Rows: null and empty texts have no ids and decode to "";
-repeated rows each give a row; very long texts are encoded whole; other columns are not read.
+memory. A pre-token that it lacks is merged exactly, however long it is. Rows: null and empty texts have no ids and decode
+to ""; repeated rows each give a row, rows without doc_id too; very long texts are encoded whole; of equally frequent words
+the first in order are taken, which changes no id; an empty table gives an empty lexicon and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from calibra.llm.common import freed, most, pieces, written
 from calibra.llm.tokens import IDS, ByteLevel, Merges, specials
 
-#: Words in the lexicon at most: a bound on the driver's work and on what is broadcast (about 2 MB).
-LEXICON_WORDS = 50_000
+#: Words in the lexicon at most, and their bytes: a bound on the driver's work and on what is broadcast (about 2 MB).
+#: Longer words are merged exactly, as all words are that the lexicon lacks.
+LEXICON_WORDS, WORD_BYTES = 50_000, 64
 #: Distinct words that a counting task holds before it sends them on.
 COUNT_WORDS = 400_000
 MAGIC = b"MATL0001"
@@ -173,7 +175,7 @@ def codec(path: str, compiled: Broadcast) -> Codec:
 
 
 def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(word, n) over all texts: each task counts its own, the shuffle adds up."""
+    """(word, n) of words of WORD_BYTES bytes or fewer, over all texts: each task counts its own, the shuffle adds up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, seen = ByteLevel(lambda keys: [b""] * len(keys), specials(path)), Counter()
@@ -182,7 +184,8 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             words: Counter = Counter()
             for k, n in seen.items():
                 for w in cutter.pattern.findall(k):
-                    words[w] += n
+                    if len(w) <= WORD_BYTES and len(w.encode("utf-8", "surrogatepass")) <= WORD_BYTES:
+                        words[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
@@ -191,10 +194,12 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 keys, codes, starts, odd = cutter.keys(part.column("text"))
                 keep = np.repeat(~odd, np.diff(starts))
                 for k, n in zip(keys, np.bincount(codes[keep], minlength=len(keys)).tolist()):
-                    if n:
+                    if n and len(k) <= 4 * WORD_BYTES:
                         seen[k] += n
+                    elif n:
+                        seen.update({x: n * m for x, m in Counter(cutter.pattern.findall(k)).items() if len(x) <= WORD_BYTES})
                 for i in np.flatnonzero(odd).tolist():
-                    seen.update(x for s in cutter.cut.split(part.column("text")[i].as_py()) if s not in cutter.special for x in cutter.pattern.findall(s))
+                    seen.update(x for s in cutter.cut.split(part.column("text")[i].as_py()) if s not in cutter.special for x in cutter.pattern.findall(s) if len(x) <= WORD_BYTES)
                 if len(seen) > COUNT_WORDS:
                     yield rows()
         yield rows()
@@ -257,4 +262,4 @@ def digests(docs: DataFrame, path: str, lexicon: Broadcast) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

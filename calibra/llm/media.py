@@ -4,7 +4,10 @@ A payload is cut into units of 192 bytes. Each goes into the ancillary bytes of
 48 kHz, 80 kbit/s, mono, with a checksum) whose side information declares no audio, so a player hears silence.
 In front stand an ID3v2 tag with the unpadded length and an "Info" frame with counts and a seek table.
 The reader takes any MPEG-1/2/2.5 stream: it skips tags, resynchronises on headers that a second header follows,
-verifies checksums, and reports durations and offsets. Null and empty texts are stored as one unit of spaces.
+verifies checksums, parses the seek tables of variable bit rates, and reports exact durations and offsets. Frames come
+first: an ID3v1 tag is only what follows the last one, so no payload is taken for a tag. Null and empty texts are stored as
+one unit of spaces; repeated rows, and rows without doc_id, each give a row; equal texts give equal values; very long texts
+are stored whole; an empty table gives no rows; columns besides the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -117,10 +120,12 @@ def stream(raw: bytes) -> bytes:
 
 @dataclass
 class Audio:
-    """What a stream holds. offsets: of each audio frame; bad: frames whose checksum differs; skipped: bytes between frames."""
+    """What a stream holds. offsets: of each audio frame; duration: seconds; bad: frames whose checksum differs; skipped: bytes
+    that are in no frame or tag; seek: the byte offsets of the seek table, which lie evenly in time."""
 
     tags: dict[str, str] = field(default_factory=dict)
     vbr: dict[str, int] = field(default_factory=dict)
+    seek: list[int] = field(default_factory=list)
     offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     duration: Fraction = Fraction(0)
@@ -149,37 +154,60 @@ def _tags(b: bytes) -> tuple[dict[str, str], int]:
     return tags, 10 + size
 
 
-def _vbr(b: bytes, at: int, h: Header) -> dict[str, int]:
+def _vbr(b: bytes, at: int, h: Header) -> tuple[dict[str, int], list[int]]:
+    """What the frame at `at` says of the whole stream, if it holds a table, and the table's byte offsets."""
+    number = lambda x, n: int.from_bytes(b[x : x + n], "big")
     x = at + 4 + 2 * h.crc + h.side
     if h.layer == 3 and b[x : x + 4] in (b"Xing", b"Info"):
-        flags, out, x = int.from_bytes(b[x + 4 : x + 8], "big"), {"table": 1}, x + 8
+        flags, out, seek, x = number(x + 4, 4), {"table": 1}, [], x + 8
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
-                out[name] = int.from_bytes(b[x : x + 4], "big")
+                out[name] = number(x, 4)
                 x += 4
-        return out
+        if flags & 4:
+            seek = [at + p * out.get("bytes", len(b) - at) // 256 for p in b[x : x + 100]]
+            x += 100
+        if flags & 8:
+            out["quality"] = number(x, 4)
+        return out, seek
     if b[at + 36 : at + 40] == b"VBRI":
-        return {"table": 1, "bytes": int.from_bytes(b[at + 46 : at + 50], "big"), "frames": int.from_bytes(b[at + 50 : at + 54], "big")}
-    return {}
+        entries, scale, width, seek = number(at + 54, 2), number(at + 56, 2), number(at + 58, 2), [at]
+        for k in range(entries):
+            seek.append(seek[-1] + scale * number(at + 62 + k * width, width))
+        return {"table": 1, "bytes": number(at + 46, 4), "frames": number(at + 50, 4), "quality": number(at + 44, 2)}, seek
+    return {}, []
+
+
+def _last_tag(b: bytes, at: int) -> dict[str, str] | None:
+    """The ID3v1 tag that the stream ends with, if it begins at `at`."""
+    if at != len(b) - 128 or b[at : at + 3] != b"TAG":
+        return None
+    cells = {"TIT2": b[at + 3 : at + 33], "TPE1": b[at + 33 : at + 63], "TALB": b[at + 63 : at + 93], "TYER": b[at + 93 : at + 97]}
+    return {k: v.split(b"\0")[0].decode("latin-1").strip() for k, v in cells.items()}
 
 
 def parse(b: bytes) -> Audio:
-    """Reads a stream whole. Bytes that are no frames are skipped; a frame counts if it is whole and follows a frame, or a header or the end follows it."""
+    """Reads a stream whole. Bytes that are no frames are skipped; a frame counts if it is whole and follows a frame, or a header,
+    the last tag or the end follows it, or it is the first and holds a seek table."""
     out = Audio()
     out.tags, at = _tags(b)
-    end = len(b) - (128 if b[-128:-125] == b"TAG" else 0)
-    view, offsets, sizes, samples, first, follows = np.frombuffer(b, np.uint8), [], [], Fraction(0), True, -1
+    end, view, offsets, sizes, samples, first, follows = len(b), np.frombuffer(b, np.uint8), [], [], Fraction(0), True, -1
     while at + 4 <= end:
         h = header(bytes(b[at : at + 4]))
-        if not h or at + h.size > end or not (at == follows or at + h.size == end or header(bytes(b[at + h.size : at + h.size + 4]))):
+        if not h or at + h.size > end or not (at == follows or at + h.size == end or header(bytes(b[at + h.size : at + h.size + 4])) or _last_tag(b, at + h.size) or first and _vbr(b, at, h)[0]):
+            if (tag := _last_tag(b, at)) is not None:
+                out.tags |= {k: v for k, v in tag.items() if v and k not in out.tags}
+                break
             at += 1
             out.skipped += 1
             continue
-        if first and (vbr := _vbr(b, at, h)):
-            out.vbr, first, at = vbr, False, at + h.size
-            follows = at
-            continue
-        first = False
+        if first:
+            out.vbr, out.seek = _vbr(b, at, h)
+            first = False
+            if out.vbr:
+                at += h.size
+                follows = at
+                continue
         n = (end - at) // h.size  # as many frames with this very header as follow each other
         rows = view[at : at + n * h.size].reshape(n, h.size)
         same = (rows[:, :4] == rows[0, :4]).all(axis=1)
@@ -201,11 +229,12 @@ def parse(b: bytes) -> Audio:
 
 
 def payload(b: bytes, a: Audio) -> bytes:
-    """The bytes that `stream` put into its frames."""
-    if not len(a.offsets):
-        return b""
-    rows = np.frombuffer(b, np.uint8)[a.offsets[0] : a.offsets[0] + FRAME * len(a.offsets)].reshape(-1, FRAME)
-    return rows[:, BODY : BODY + UNIT].tobytes()
+    """The bytes that `stream` put into its frames, wherever these lie. Frames of another size hold none."""
+    at = a.offsets[a.sizes == FRAME] if len(a.offsets) else a.offsets
+    view = np.frombuffer(b, np.uint8)
+    if len(at) and at[-1] - at[0] == FRAME * (len(at) - 1):
+        return view[at[0] : at[0] + FRAME * len(at)].reshape(-1, FRAME)[:, BODY : BODY + UNIT].tobytes()
+    return view[at[:, None] + np.arange(BODY, BODY + UNIT)].tobytes() if len(at) else b""
 
 
 def write(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,11 +252,12 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def features(media: DataFrame) -> DataFrame:
     """Reads rows (doc_id, media) back: their payload's digests, exact duration, frame checks and seek offsets.
 
-    seek_offsets: the byte where every 64th frame starts. A stream without frames has zero frames and an empty payload.
+    duration: seconds as a fraction; duration_us: whole microseconds of it; bad_frames: frames whose checksum differs;
+    seek_offsets: the byte where every SEEK_EVERY-th frame starts. A stream without frames has zero frames and an empty payload.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_us long, bad_frames long, seek_offsets array<long>"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration string, duration_us long, bad_frames long, seek_offsets array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,8 +269,8 @@ def features(media: DataFrame) -> DataFrame:
                 n = int(a.tags.get("payload_bytes", len(p)))
                 us = int(a.duration * 1_000_000)
                 seek = a.offsets[::SEEK_EVERY].tolist()
-                feature = f"mpeg frames={len(a.offsets)} listed={a.vbr.get('frames', -1)} checked={a.checked} bad={a.bad} skipped={a.skipped} us={us} seek={zlib.crc32(a.offsets.astype('<i8').tobytes())}"
-                rows.append((doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(b), hashlib.sha256(b).hexdigest(), feature, len(a.offsets), us, a.bad, seek))
+                feature = f"mpeg frames={len(a.offsets)} listed={a.vbr.get('frames', -1)} checked={a.checked} bad={a.bad} skipped={a.skipped} table={len(a.seek)} us={us} seek={zlib.crc32(a.offsets.astype('<i8').tobytes())}"
+                rows.append((doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(b), hashlib.sha256(b).hexdigest(), feature, len(a.offsets), str(a.duration), us, a.bad, seek))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
     return media.select("doc_id", "media").mapInArrow(run, schema)

@@ -3,8 +3,9 @@
 A document's ids end with an end id; one that is longer than a sequence is cut into full sequences, behind a first
 piece that may be shorter. Full pieces are sequences of their own. The others are dealt into blocks of about
 BLOCK_ITEMS; each block is evolved on ISLANDS tasks, between epochs each island's elite migrates to the next one, and
-the best elite of all islands stands. A block that reaches its lower bound ends at once, for no packing is better. Null and empty texts are pieces of one id; repeated rows are packed each;
-an empty table gives no rows.
+the best elite of all islands stands. A block that reaches its lower bound ends at once, for no packing is better. Null and
+empty texts are pieces of one id; repeated rows, and rows without doc_id, are packed each; long texts are encoded whole;
+equal packings are told apart by their islands' numbers; an empty table gives no rows; columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -163,7 +164,7 @@ def pack(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS) -> Dat
     schema = "block long, island int, uid long, length long, bin int"
 
     def epoch(number: int):
-        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("uid", kind="stable")
             own = rows[rows["elite"] == 0] if (rows["elite"] == 0).any() else rows.drop_duplicates("uid")
             sizes = own["length"].tolist()
@@ -185,9 +186,10 @@ def pack(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS) -> Dat
     part = items.where(F.col("length") < capacity)
     blocks = max(1, -(-part.count() // block_items))
     rows = part.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "uid", "length", F.lit(-1).alias("bin"), F.lit(0).alias("elite"))
+    before: list[DataFrame] = []
     for number in range(EPOCHS):
-        found = rows.groupBy("block", "island").applyInPandas(epoch(number), schema)
-        found = written(found, "islands")
+        found = written(rows.groupBy("block", "island").applyInPandas(epoch(number), schema), "islands", over=before)
+        before = [found]
         stay = found.withColumn("elite", F.lit(0))
         move = found.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")).withColumn("elite", F.lit(1))
         rows = stay.unionByName(move)

@@ -49,7 +49,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.write(table(spark, sf_dir, "documents"))).drop("seek_offsets")
+    return media.features(media.write(table(spark, sf_dir, "documents")))
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

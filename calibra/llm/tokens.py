@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterable
@@ -25,7 +26,10 @@ def tokenizer_path(name: str) -> str:
 
 
 class Memo:
-    """Pieces and their ids, in two generations: what isn't asked for while `cap` / 2 new pieces come is forgotten."""
+    """Pieces and their ids, in two generations: what isn't asked for while `cap` / 2 new pieces come is forgotten. Pieces of
+    more than LONG characters are never kept, so the memo's size is bounded."""
+
+    LONG = 256
 
     def __init__(self, missing: Callable[[list[str]], Iterable[bytes]], cap: int = 600_000) -> None:
         self.missing, self.half, self.new, self.old = missing, cap // 2, {}, {}
@@ -46,7 +50,9 @@ class Memo:
             if rest:
                 asked = [keys[i] for i in rest]
                 for i, k, x in zip(rest, asked, self.missing(asked), strict=True):
-                    found[i] = new[k] = x
+                    found[i] = x
+                    if len(k) <= self.LONG:
+                        new[k] = x
         return found
 
 
@@ -68,11 +74,12 @@ def byte_symbols() -> dict[str, int]:
 class Merges:
     """Byte-pair merging of many pieces at once: in each round every piece makes its merge of least rank.
 
-    Pieces stand in a matrix, a row each, as symbols with links to the symbols left and right of them; a round
-    touches one place of each row. Rows are grouped by length, so little is padded. Ids are the vocabulary's.
+    Short pieces stand in a matrix, a row each, as symbols with links to the symbols left and right of them; a round
+    touches one place of each row. Rows are grouped by length, so little is padded. Pieces of more than WIDE bytes stand in
+    one row behind each other, and a round makes all merges of one rank, so time grows with their bytes. Ids are the vocabulary's.
     """
 
-    NONE = np.int64(1) << 40
+    NONE, WIDE = np.int64(1) << 40, 64
 
     def __init__(self, path: str) -> None:
         rules = json.load(open(path, encoding="utf-8"))
@@ -87,6 +94,12 @@ class Merges:
         self.keys, self.rank_and_id = key[order], (np.arange(len(key), dtype=np.int64) << 20 | made)[order]
         self.of_byte = np.array([ids[c] for c, _ in sorted(to_byte.items(), key=lambda x: x[1])], np.int64)
         self.first = self.ranks(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256))
+        # all merges of a rank can be made at once if no symbol is part of an earlier merge than one that makes it
+        parts = np.array([[ids[a], ids[b]] for a, b in pairs], np.int64)
+        made_last, used_first, at = np.full(made.max() + 2, -1), np.full(max(made.max(), parts.max()) + 2, len(pairs)), np.arange(len(pairs))
+        np.maximum.at(made_last, made, at)
+        np.minimum.at(used_first, parts.ravel(), np.repeat(at, 2))
+        self.by_rank = bool((made_last[made] < used_first[made]).all())
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank and result of merging a with b; NONE where there is no such merge (or no symbol: below 0)."""
@@ -104,6 +117,11 @@ class Merges:
             if not (n := int(size[order[at]])):
                 at += 1
                 continue
+            if n > self.WIDE and self.by_rank:
+                rows = order[at:]
+                for i, x in zip(rows.tolist(), self.long([raw[i] for i in rows])):
+                    out[i] = x
+                break
             width = max(8, 1 << (n - 1).bit_length())
             end = int(np.searchsorted(size[order], width, side="right"))
             end = min(end, at + max(1, (1 << 20) // width))
@@ -113,6 +131,59 @@ class Merges:
             at = end
         return out
 
+    def long(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of long pieces: ranks in ascending order, all places of one at once, of overlapping ones every other from the left."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat, n = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64), int(size.sum())
+        sym = np.append(self.of_byte[flat], -1)  # place n stands for "no symbol"
+        right, left = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
+        left[0] = n
+        starts = np.cumsum(size) - size
+        left[starts], right[starts[1:] - 1] = n, n
+        alive = np.ones(n, bool)
+        rank = np.append(np.where(right[:n] < n, self.first[flat * 256 + flat[np.minimum(right[:n], n - 1)]], self.NONE), self.NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        todo: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            at = at[rank[at] < self.NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            r = rank[at]
+            cuts = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)]
+            for a, b in zip(cuts, cuts[1:]):
+                x = int(r[a])
+                if x not in places:
+                    places[x] = []
+                    heapq.heappush(todo, x)
+                places[x].append(at[a:b])
+
+        file(np.arange(n))
+        while todo:
+            r = heapq.heappop(todo)
+            i = np.unique(np.concatenate(places.pop(r)))
+            i = i[alive[i] & (rank[i] == r)]
+            if not len(i):
+                continue
+            tied = np.concatenate([[False], right[i[:-1]] == i[1:]])
+            if tied.any():
+                at = np.arange(len(i))
+                i = i[(at - np.maximum.accumulate(np.where(tied, 0, at))) % 2 == 0]
+            j = right[i]
+            k = right[j]
+            sym[i], alive[j], rank[j], right[i] = r & 0xFFFFF, False, self.NONE, k
+            left[k] = i
+            left[n] = n
+            p = left[i]
+            rank[i] = self.ranks(sym[i], np.where(k < n, sym[k], -1))
+            rank[p] = self.ranks(np.where(p < n, sym[p], -1), sym[i])
+            rank[n] = self.NONE
+            file(np.unique(np.concatenate([i, p[p < n]])))
+        ends = np.concatenate([[0], np.cumsum(alive)])
+        ids, cuts = sym[:n][alive].astype(IDS).tobytes(), (ends[np.append(starts, n)] * IDS.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def merged(self, raw: list[bytes], size: np.ndarray, width: int) -> list[bytes]:
         m, w = len(raw), width + 1
         chars = np.zeros((m, w), np.int64)

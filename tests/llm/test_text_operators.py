@@ -65,6 +65,19 @@ def test_long_pieces_merge():
     assert tokens.encoder(BYTE)(pa.array([text]))[0].tolist() == tokens._library(BYTE).encode(text, add_special_tokens=False).ids
 
 
+def test_very_long_words(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choices("etaoinshrdlu", k=300_000)), "a" * 100_001, "é中" * 20_000 + " x", "".join(r.choices("ab", k=65)) + " " + "b" * 63]
+    lib = tokens._library(BYTE)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    compiled = bpe.build_lexicon(df, BYTE)
+    assert bpe.Lexicon(compiled).words == 2  # " x", and a space and 63 letters
+    found = by_id(bpe.digests(df, BYTE, spark.sparkContext.broadcast(compiled)))
+    for i, t in enumerate(texts):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert found[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and found[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
 def test_lexicon_is_exact_and_minimal():
     words = sorted({w.encode() for w in VOCABULARY})
     lex = bpe.Lexicon(bpe.compile_lexicon((w, np.array([i, 7], "<u4").tobytes()) for i, w in enumerate(words)))
@@ -101,9 +114,18 @@ def test_token_files(docs, empty):
 @settings(max_examples=40, deadline=None)
 def test_codes_are_addressable(ids):
     ids = np.array(ids, "<u4")
-    f = dac.Reader(dac.pack(np.array([4]), np.array([0, len(ids)]), ids))
+    f = dac.Reader(dac.pack(pa.array([4]), np.array([0, len(ids)]), ids))
     at = np.random.default_rng(1).permutation(len(ids))
-    assert (f.all() == ids).all() and (f[at] == ids[at]).all()
+    assert (f[at] == ids[at]).all() and all(f[at[i : i + 1]] == ids[at[i]] for i in range(min(20, len(at))))
+
+
+def test_token_files_of_rows_without_id(spark):
+    rows = [(None, "b a"), (-(2**63), "c"), (None, "a"), (7, None), (7, ""), (7, "x y"), *[(9, "same words")] * 40]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int").repartition(4)
+    found = sorted(dac.stored(df, WORD).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None, None, -(2**63), 7, 7, 7, *[9] * 40]
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    assert sorted(r.n_tokens for r in found[:3]) == [2, 2, 3] and len({r.ids_crc32 for r in found[6:]}) == 1
 
 
 def test_media_round_trip(docs, empty):
@@ -127,6 +149,40 @@ def test_media_resynchronises_and_checks():
     assert len(media.parse(b"").offsets) == len(media.parse(b"\xff" * 500).offsets) == 0
 
 
+@pytest.mark.parametrize("mark", [b"TAG", b"ID3", b"Xing", b"Info", b"VBRI", media.HEAD])
+def test_media_payload_is_no_tag(mark):
+    for units in (1, 2, 3):
+        for at in range(192 * units - len(mark) + 1):
+            raw = b"x" * at + mark + b"y" * (192 * units - len(mark) - at)
+            b = media.stream(raw)
+            a = media.parse(b)
+            assert media.payload(b, a) == raw and len(a.offsets) == units
+
+
+@given(st.binary(max_size=900), st.integers(0, 3), st.binary(max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_media_payload_among_junk(raw, frame, junk):
+    b = media.stream(raw)
+    a = media.parse(b)
+    assert media.payload(b, a) == media.padded(raw)
+    at = int(a.offsets[min(frame, len(a.offsets) - 1)])
+    junk = junk.replace(b"\xff", b"\xfe")
+    cut = b[:at] + junk + b[at:] + b"TAG" + b"title".ljust(125, b"\0")
+    c = media.parse(cut)
+    assert media.payload(cut, c) == media.padded(raw) and c.skipped == len(junk) and c.tags["TIT2"] == "title"
+
+
+def test_media_tables():
+    a = media.parse(media.stream(b"x" * 192 * 400))
+    assert len(a.seek) == 100 and a.seek == sorted(a.seek) and all(abs(p - a.offsets[len(a.offsets) * i // 100]) <= 240 * 401 / 256 + 240 for i, p in enumerate(a.seek))
+    head = bytes([0xFF, 0xFB, 0x64, 0xC0])
+    frame = bytearray(head + bytes(236))
+    frame[36:62] = b"VBRI" + bytes(4) + (9).to_bytes(2, "big") + (960).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (3, 1, 2, 1)) + bytes(0)
+    frame[62:68] = b"".join(x.to_bytes(2, "big") for x in (240, 240, 240))
+    a = media.parse(bytes(frame) + (head + bytes(236)) * 3)
+    assert (a.vbr["frames"], a.vbr["bytes"], a.vbr["quality"], a.seek, len(a.offsets)) == (3, 960, 9, [0, 240, 480, 720], 3)
+
+
 def test_packing(docs, empty):
     lib = tokens._library(BYTE)
     rows = packing.packed(docs, BYTE).collect()
