@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import inspect
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +75,41 @@ def freed(*found: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches, or over a group's table, after which the worker gives freed memory back: workers last
+    from task to task, and what one has once held stays with it otherwise."""
+
+    @functools.wraps(run)
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    @functools.wraps(run)
+    def over_rows(rows):
+        try:
+            return run(rows)
+        finally:
+            _give_back()
+
+    @functools.wraps(run)
+    def over_group(key, rows):
+        try:
+            return run(key, rows)
+        finally:
+            _give_back()
+
+    # Spark asks for the number of arguments
+    return over_batches if inspect.isgeneratorfunction(run) else over_rows if run.__code__.co_argcount == 1 else over_group
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str):
     """Slices of a batch with about STEP_BYTES of text each; a row is never cut."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibra.llm.common import bit_filter, coded, components, filter_cells, freed, hashed, in_filter, lowered, mixed, most, pieces, shingles, word_lists, written
+from calibra.llm.common import bit_filter, coded, components, filter_cells, freed, hashed, in_filter, lean, lowered, mixed, most, pieces, shingles, word_lists, written
 
 #: Frequent shingles that the order knows by their frequency, at most: a bound on what is broadcast (about 3 MB).
 FREQUENT = 200_000
@@ -96,6 +96,7 @@ def frequent(docs: DataFrame, k: int, size: int = FREQUENT) -> tuple[np.ndarray,
     Counts need not be exact: any order of shingles gives right results, a good one gives short lists.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
@@ -125,6 +126,7 @@ def frequent(docs: DataFrame, k: int, size: int = FREQUENT) -> tuple[np.ndarray,
 def prefixes(docs: DataFrame, k: int, percent: int, order: Broadcast) -> DataFrame:
     """(doc_id, n, s1, s2, bits, prefix): each set's size, signature, parities, and first shingles in the order, MOST_MATCHES - 1 more than one match needs."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = order.value
         for batch in batches:
@@ -153,6 +155,7 @@ def sent(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """
     chosen = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("id").alias("doc_id")).distinct()))  # FILTER_WORDS words at most
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_filter(chosen.value, batch.column("b"))))
@@ -171,6 +174,7 @@ def sent(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def verified(moved: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets are similar enough, of sets (cid, b, items) that were sent to b; b's own set is among them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -287,6 +291,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     chosen = docs.sparkSession.sparkContext.broadcast(bit_filter(some))  # FILTER_WORDS words at most
 
     def part(hit: bool):
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for some in pieces(batch, "text"):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import pieces, written
+from calibra.llm.common import lean, pieces, written
 from calibra.llm.tokens import encoder
 
 #: Items that evolve together; a block is one task's work, and wastes half a sequence at most in the mean.
@@ -30,6 +30,7 @@ POPULATION, GENERATIONS = 4, 40
 def cut(docs: DataFrame, path: str, capacity: int, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every text, encoded whole."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
@@ -164,6 +165,7 @@ def pack(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS) -> Dat
     schema = "block long, island int, uid long, length long, bin int"
 
     def epoch(number: int):
+        @lean
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("uid", kind="stable")
             own = rows[rows["elite"] == 0] if (rows["elite"] == 0).any() else rows.drop_duplicates("uid")

@@ -20,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import coded, crc32_text, hashed, mixed, pieces, word_lists
+from calibra.llm.common import coded, crc32_text, hashed, lean, mixed, pieces, word_lists
 
 #: Labelled rows of a fit at most; buckets of the feature hash.
 MAX_ROWS, DIMS = 6000, 1 << 18
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     # repeated rows of an id count once (that of the least text), before any of them is sent
     rows = docs.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, ids = [], [], []
         for batch in batches:
@@ -153,6 +154,7 @@ def scored(docs: DataFrame, model: Broadcast) -> DataFrame:
     names = [c for c in docs.columns if c.lower() != "score"]
     schema = docs.select(*names).schema.add("score", "double")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
         for batch in batches:
@@ -166,6 +168,7 @@ def filtered(docs: DataFrame, model: Broadcast, threshold: float = THRESHOLD) ->
     """The rows of docs that score as well as the threshold or better, with all their columns."""
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
         for batch in batches:
