@@ -9,7 +9,7 @@ import inspect
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handed to one vectorised step, in bytes; bounds what a worker holds beside its Arrow batch.
 STEP_BYTES = 4 << 20
+#: The same where a step holds many numbers for each word.
+SMALL_STEP = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +82,7 @@ def lean(run: Callable) -> Callable:
     from task to task, and what one has once held stays with it otherwise."""
 
     @functools.wraps(run)
-    def over_batches(batches):
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
@@ -110,10 +112,10 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def pieces(batch: pa.RecordBatch, column: str):
-    """Slices of a batch with about STEP_BYTES of text each; a row is never cut."""
+def pieces(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES):
+    """Slices of a batch with about `step_bytes` of text each; a row is never cut."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    step = np.cumsum(size) // STEP_BYTES
+    step = np.cumsum(size) // step_bytes
     cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibra.llm.common import bit_filter, coded, components, filter_cells, freed, hashed, in_filter, lean, lowered, mixed, most, pieces, shingles, word_lists, written
+from calibra.llm.common import SMALL_STEP, bit_filter, coded, components, filter_cells, freed, hashed, in_filter, lean, lowered, mixed, most, pieces, shingles, word_lists, written
 
 #: Frequent shingles that the order knows by their frequency, at most: a bound on what is broadcast (about 3 MB).
 FREQUENT = 200_000
@@ -106,7 +106,7 @@ def frequent(docs: DataFrame, k: int, size: int = FREQUENT) -> tuple[np.ndarray,
             return pa.RecordBatch.from_arrays([pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], ["t", "n"])
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SMALL_STEP):
                 v, _ = shingle_sets(part.column("text"), k)
                 held.append(v)
                 total += len(v)
@@ -130,7 +130,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, order: Broadcast) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = order.value
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SMALL_STEP):
                 v, starts = shingle_sets(part.column("text"), k)
                 s1, s2 = signatures(v, starts)
                 bits, n = parities(v, starts), np.diff(starts)
@@ -159,7 +159,7 @@ def sent(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_filter(chosen.value, batch.column("b"))))
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SMALL_STEP):
                 v, starts = shingle_sets(part.column("text"), k)
                 s1, s2 = signatures(v, starts)
                 items = pa.array([v[x:y].tobytes() for x, y in zip(starts, starts[1:])], pa.binary())
@@ -294,7 +294,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for some in pieces(batch, "text"):
+                for some in pieces(batch, "text", SMALL_STEP):
                     may = in_filter(chosen.value, some.column("b"))
                     if not hit:
                         may = ~may

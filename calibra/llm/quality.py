@@ -20,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import coded, crc32_text, hashed, lean, mixed, pieces, word_lists
+from calibra.llm.common import SMALL_STEP, coded, crc32_text, hashed, lean, mixed, pieces, word_lists
 
 #: Labelled rows of a fit at most; buckets of the feature hash.
 MAX_ROWS, DIMS = 6000, 1 << 18
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, ids = [], [], []
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SMALL_STEP):
                 d, f = features(part.column("text"))
                 x += np.split(f, np.searchsorted(d, np.arange(1, part.num_rows)))
                 y += part.column("label").to_pylist()
@@ -158,7 +158,7 @@ def scored(docs: DataFrame, model: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SMALL_STEP):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores(part.column("text"), m))], [*names, "score"])
 
     return docs.select(*names).mapInArrow(run, schema)
@@ -172,7 +172,7 @@ def filtered(docs: DataFrame, model: Broadcast, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SMALL_STEP):
                 yield part.filter(pa.array(scores(part.column("text"), m) >= threshold)).select(names)
 
     return docs.mapInArrow(run, docs.schema)

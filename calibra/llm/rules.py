@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import coded, pieces, word_lists
+from calibra.llm.common import SMALL_STEP, coded, lean, pieces, word_lists
 
 #: Repeats count from this many words; limits of the fraction of words in repeats, in hundredths, and of the longest one.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 5, 30, 60
@@ -112,9 +112,10 @@ def measures(docs: DataFrame, min_repeat: int = MIN_REPEAT, key: str = "doc_id",
     """Counts of every text: words, their characters, symbols, repeated lines, words in repeated 3-word windows, words in maximal repeats, the longest repeat."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SMALL_STEP):
                 found = _step(part.column("text"), min_repeat)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[x], pa.int64()) for x in names)], ["doc_id", *names])
 
@@ -133,9 +134,10 @@ def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep. Rows go through one task each: no join, so repeated ids keep their own verdicts."""
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SMALL_STEP):
                 m = _step(part.column("text"), MIN_REPEAT)
                 good = (m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= MAX_WINDOWS * m["n_words"]) & (100 * m["n_covered_words"] <= MAX_COVERED * m["n_words"]) & (m["longest_repeat"] <= MAX_LONGEST)
                 yield part.filter(pa.array(good)).select(names)
