@@ -26,13 +26,25 @@ STEP_BYTES = 4 << 20
 SMALL_STEP = 2 << 20
 
 
+#: Spark's bound on the bytes of an Arrow batch, which both sides of a Python worker hold; its default is too much for small executors.
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session have STEP_BYTES bytes at most."""
+    if int(spark.conf.get(ARROW)) > STEP_BYTES:
+        spark.conf.set(ARROW, str(STEP_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset, a temporary folder in
     local mode; on a cluster an error, since executors would each write to their own disk."""
+    bounded(spark)
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:

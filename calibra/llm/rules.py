@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import SMALL_STEP, coded, lean, pieces, word_lists
+from calibra.llm.common import SMALL_STEP, bounded, coded, lean, pieces, word_lists
 
 #: Repeats count from this many words; limits of the fraction of words in repeats, in hundredths, and of the longest one.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 5, 30, 60
@@ -132,6 +132,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep. Rows go through one task each: no join, so repeated ids keep their own verdicts."""
+    bounded(docs.sparkSession)
     names = docs.columns
 
     @lean
