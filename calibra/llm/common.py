@@ -32,7 +32,7 @@ ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bounded(spark: SparkSession) -> None:
     """From now on Arrow batches of this session have STEP_BYTES bytes at most."""
-    if int(spark.conf.get(ARROW)) > STEP_BYTES:
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW)) > STEP_BYTES:
         spark.conf.set(ARROW, str(STEP_BYTES))
 
 
