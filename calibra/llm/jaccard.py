@@ -282,10 +282,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     names, schema = docs.columns, docs.schema
     found = clustered(docs, k, percent).where("component is not null")
-    sets = found.groupBy("component", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "s1", "s2").agg(F.count("*").alias("rows"))
-    first = F.min(F.struct((F.col("id") == NO_ID).alias("none"), "id", "s1", "s2"))
-    least = sets.groupBy("component").agg(first.alias("first"))
-    judged = sets.join(least, "component").select("id", "s1", "s2", "rows", (F.struct("id", "s1", "s2") == F.struct("first.id", "first.s1", "first.s2")).alias("stays"))
+    key = ["id", "s1", "s2"]
+    found = found.select("component", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "s1", "s2")
+    first = found.groupBy("component").agg(F.min(F.struct((F.col("id") == NO_ID).alias("none"), *key)).alias("first")).select("first.id", "first.s1", "first.s2", F.lit(True).alias("stays"))
+    judged = found.groupBy(*key).agg(F.count("*").alias("rows")).join(first, key, "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
     judged = written(judged, "judged")
     some = judged.where("not stays or rows > 1").select(F.col("id").alias("doc_id")).distinct()
     chosen = docs.sparkSession.sparkContext.broadcast(bit_filter(some))  # FILTER_WORDS words at most

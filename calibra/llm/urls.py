@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 DIMS, SIZES = 1 << 14, (3, 4, 5)
 # A small labelled table, hosts' first labels; 1 is to be blocked.
 BLOCKED = "spam-farm cheap-pills buy-pills best-casino online-casino free-money win-prizes hot-deals adult-video xxx-clips fast-loans payday-loans pills-shop spam-blog click-farm link-farm casino-bonus cheap-meds replica-watches free-ringtones crypto-doubler seo-boost lottery-winner miracle-diet get-rich adult-chat".split()
-ALLOWED = "news weather library museum university history garden science research travel cooking theatre orchestra river mountain harbour village archive journal gazette poetry painting physics botany geology astronomy thther thing tionst therin ereder andthe ingthe".split()
+ALLOWED = "news weather library museum university history garden science research travel cooking theatre orchestra river mountain harbour village archive journal gazette poetry painting physics botany geology astronomy school council hospital theater teacher weaving reading hiking".split()
 PATHS = ["/", "/en/12", "/de/431", "/fr/7.html", "/es/98/"]
 
 
