@@ -126,8 +126,8 @@ def _give_back() -> None:
 
 def pieces(batch: pa.RecordBatch, column: str, step_bytes: int = STEP_BYTES):
     """Slices of a batch with about `step_bytes` of text each; a row is never cut."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    step = np.cumsum(size) // step_bytes
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    step = (np.cumsum(size) - size) // step_bytes  # by where a row begins, so a batch that is little longer stays whole
     cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterable
@@ -39,21 +40,20 @@ class Memo:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         found = list(map(new.get, keys))
-        lacking = [i for i, x in enumerate(found) if x is None]
-        if lacking:
-            rest = []
-            for i in lacking:
-                if (x := old.get(k := keys[i])) is None:
-                    rest.append(i)
-                else:
-                    found[i] = new[k] = x
-            if rest:
-                asked = [keys[i] for i in rest]
-                for i, k, x in zip(rest, asked, self.missing(asked), strict=True):
-                    found[i] = x
-                    if len(k) <= self.LONG:
-                        new[k] = x
-        return found
+        lacking = [k for k, x in zip(keys, found) if x is None]
+        if not lacking:
+            return found
+        got = list(map(old.get, lacking))
+        asked = [k for k, x in zip(lacking, got) if x is None]
+        if asked:
+            made = iter(self.missing(asked))
+            got = [next(made) if x is None else x for x in got]
+        if max(map(len, lacking)) <= self.LONG:
+            new.update(zip(lacking, got))
+        else:
+            new.update((k, x) for k, x in zip(lacking, got) if len(k) <= self.LONG)
+        rest = iter(got)
+        return [next(rest) if x is None else x for x in found]
 
 
 def gathered(codes: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +232,7 @@ class ByteLevel:
     """
 
     SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    STOPS = frozenset(".,;:!?)")
 
     def __init__(self, pieces: Callable[[list[str]], Iterable[bytes]], special: dict[str, int], cap: int = 600_000) -> None:
         self.memo, self.parts, self.special = Memo(self.pieces, cap), Memo(pieces, cap), special
@@ -257,11 +258,20 @@ class ByteLevel:
         return b"".join(out)
 
     def pieces(self, keys: list[str]) -> list[bytes]:
-        # a space and letters, or letters, are one pre-token
-        cut = [[k] if k[1:].isalpha() and (k[0] == " " or k[0].isalpha()) else self.pattern.findall(k) for k in keys]
-        distinct = list(dict.fromkeys(x for c in cut for x in c))
+        # a space and letters, or letters, are one pre-token, and a stop behind them is one more
+        cut: list[tuple | list] = []
+        for k in keys:
+            if not k or not (k[0] == " " or k[0].isalpha()):
+                cut.append(self.pattern.findall(k))
+            elif k[1:].isalpha():
+                cut.append((k,))
+            elif k[-1] in self.STOPS and k[1:-1].isalpha():
+                cut.append((k[:-1], k[-1]))
+            else:
+                cut.append(self.pattern.findall(k))
+        distinct = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
         ids = dict(zip(distinct, self.parts(distinct), strict=True))
-        return [ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c)) for c in cut]
+        return [ids[c[0]] if len(c) == 1 else ids[c[0]] + ids[c[1]] if len(c) == 2 else b"".join(map(ids.__getitem__, c)) for c in cut]
 
     def keys(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, each piece's key, where each text's pieces start, and which texts need the whole pattern."""
