@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handed to one vectorised step, in bytes; bounds what a worker holds beside its Arrow batch.
 STEP_BYTES = 4 << 20
-#: The same where a step holds many numbers for each word.
-SMALL_STEP = 2 << 20
+#: The same where a step holds many numbers for each word, and where it holds few: equal words of a step are handled once.
+SMALL_STEP, LARGE_STEP = 2 << 20, 8 << 20
 
 
 #: Spark's bound on the bytes of an Arrow batch, which both sides of a Python worker hold; its default is too much for small executors.
@@ -37,14 +37,12 @@ def bounded(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset, a temporary folder in
     local mode; on a cluster an error, since executors would each write to their own disk."""
-    bounded(spark)
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:

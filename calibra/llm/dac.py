@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.llm.common import pieces, shared_folder, written
+from calibra.llm.common import LARGE_STEP, pieces, shared_folder, written
 from calibra.llm.tokens import IDS, encoder
 
 MAGIC, BLOCK, WORD = b"DAC00002", 512, 64
 #: Tokens after which a file is closed; a document is never cut. Tokens looked up at once.
-FILE_TOKENS, LOOK_UP = 3_000_000, 1 << 20
+FILE_TOKENS, LOOK_UP = 3_000_000, 1 << 17
 #: Tasks whose files' starts are added up together.
 GROUP = 1024
 
@@ -134,7 +134,7 @@ def write(docs: DataFrame, path: str, end: int, folder: str, key: str = "doc_id"
             held.clear()
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", LARGE_STEP):
                 ids, starts = encode(part.column("text"))
                 held.append((part.column("doc_id"), np.diff(starts) + 1, np.insert(ids, starts[1:], end)))
                 if sum(len(x[2]) for x in held) >= FILE_TOKENS:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibra.llm.common import SMALL_STEP, bit_filter, coded, components, filter_cells, freed, hashed, in_filter, lean, lowered, mixed, most, pieces, shingles, word_lists, written
+from calibra.llm.common import SMALL_STEP, bit_filter, bounded, coded, components, filter_cells, freed, hashed, in_filter, lean, lowered, mixed, most, pieces, shingles, word_lists, written
 
 #: Frequent shingles that the order knows by their frequency, at most: a bound on what is broadcast (about 3 MB).
 FREQUENT = 200_000
@@ -196,6 +196,7 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     Links are enough of them to connect all classes that links connect; both classes of a link are similar enough.
     All three are written; everything on the way to them is deleted.
     """
+    bounded(docs.sparkSession)
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent(docs, k))  # FREQUENT shingles at most
     rows = written(prefixes(docs, k, percent, order).withColumn("uid", F.monotonically_increasing_id()), "prefixes")

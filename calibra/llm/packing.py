@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import lean, pieces, written
+from calibra.llm.common import LARGE_STEP, lean, pieces, written
 from calibra.llm.tokens import encoder
 
 #: Items that evolve together; a block is one task's work, and wastes half a sequence at most in the mean.
@@ -34,7 +34,7 @@ def cut(docs: DataFrame, path: str, capacity: int, end: int, key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", LARGE_STEP):
                 ids, starts = encode(part.column("text"))
                 rows = []
                 ids = np.insert(ids, starts[1:], end)
