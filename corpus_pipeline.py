@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.llm import jaccard, packing, quality, rules, substring
-from calibra.llm.common import table, written
+from calibra.llm.common import bounded, table, written
 from calibra.llm.tokens import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rules keep. Null and empty texts, and all of fewer than 50 words, go; long texts are judged whole."""
+    bounded(spark)  # from here on, for all stages
     return rules.filtered(docs)
 
 
