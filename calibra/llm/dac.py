@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.llm.common import LARGE_STEP, pieces, shared_folder, written
+from calibra.llm.common import pieces, shared_folder, written
 from calibra.llm.tokens import IDS, encoder
 
 MAGIC, BLOCK, WORD = b"DAC00002", 512, 64
@@ -34,7 +34,7 @@ GROUP = 1024
 
 def pack(doc_ids: pa.Array, starts: np.ndarray, ids: np.ndarray) -> bytes:
     """One file's bytes: documents and where each one's ids start (one entry more), then the levels."""
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids.astype(np.uint32)
     while True:
         more = rest > 255
         bits = np.packbits(more, bitorder="little")
@@ -43,10 +43,10 @@ def pack(doc_ids: pa.Array, starts: np.ndarray, ids: np.ndarray) -> bytes:
         before = np.cumsum(in_words) - in_words
         blocks = before[:: BLOCK // WORD].astype("<u8")
         words = (before - np.repeat(before[:: BLOCK // WORD], BLOCK // WORD)).astype("<u2")
-        levels.append((len(rest), (rest & np.uint64(255)).astype(np.uint8).tobytes(), bits.tobytes(), blocks.tobytes(), words.tobytes()))
+        levels.append((len(rest), (rest & np.uint32(255)).astype(np.uint8).tobytes(), bits.tobytes(), blocks.tobytes(), words.tobytes()))
         if not more.any():
             break
-        rest = rest[more] >> np.uint64(8)
+        rest = rest[more] >> np.uint32(8)
     head = struct.pack("<8sQQI", MAGIC, len(doc_ids), len(ids), len(levels))
     table = doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes() + doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() + starts.astype("<u8").tobytes()
     return head + table + b"".join(struct.pack("<QQQQ", n, *map(len, x[1:])) + b"".join(x) for n, *x in levels)
@@ -80,11 +80,13 @@ class Reader:
         at = np.asarray(places, np.int64)
         out, who = np.zeros(len(at), IDS), None
         for k, (chunks, bits, blocks, words) in enumerate(self.levels):
-            own = chunks[at].astype(IDS) << IDS.type(8 * k)
+            own = chunks[at].astype(IDS)
             if who is None:
                 out = own
             else:
-                out[who] |= own
+                out[who] |= own << IDS.type(8 * k)
+            if k + 1 == len(self.levels):
+                break
             word = bits[at >> 6]
             bit = (at & 63).astype(np.uint64)
             on = np.flatnonzero(word >> bit & np.uint64(1))
@@ -134,7 +136,7 @@ def write(docs: DataFrame, path: str, end: int, folder: str, key: str = "doc_id"
             held.clear()
 
         for batch in batches:
-            for part in pieces(batch, "text", LARGE_STEP):
+            for part in pieces(batch, "text"):
                 ids, starts = encode(part.column("text"))
                 held.append((part.column("doc_id"), np.diff(starts) + 1, np.insert(ids, starts[1:], end)))
                 if sum(len(x[2]) for x in held) >= FILE_TOKENS:

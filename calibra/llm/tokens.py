@@ -344,12 +344,20 @@ class WordLevel:
         plain = [k.isascii() or max(k) <= "\xff" for k in keys]
         if any("<|" in k for k in keys):
             plain = [p and not any(s in k.lower() for s in self.special) for p, k in zip(plain, keys)]
-        cut = [self.pattern.findall(k.lower()) if p else [] for p, k in zip(plain, keys)]
-        flat = [x for c in cut for x in c]
-        distinct = list(dict.fromkeys(flat))
+        cut: list[tuple | list] = []
+        for p, k in zip(plain, keys):
+            if not p:
+                cut.append(())
+            elif k.isalpha():
+                cut.append((k.lower(),))
+            elif k[-1] in ByteLevel.STOPS and k[:-1].isalpha():
+                cut.append((k[:-1].lower(), k[-1]))
+            else:
+                cut.append(self.pattern.findall(k.lower()))
+        distinct = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
         ids = dict(zip(distinct, self.parts(distinct), strict=True)) if distinct else {}
         whole = iter(self.library.encode_batch_fast([k for p, k in zip(plain, keys) if not p], add_special_tokens=False))
-        return [b"".join(map(ids.__getitem__, c)) if p else np.array(next(whole).ids, IDS).tobytes() for p, c in zip(plain, cut)]
+        return [np.array(next(whole).ids, IDS).tobytes() if not p else ids[c[0]] if len(c) == 1 else ids[c[0]] + ids[c[1]] if len(c) == 2 else b"".join(map(ids.__getitem__, c)) for p, c in zip(plain, cut)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words, starts = word_lists(texts)
