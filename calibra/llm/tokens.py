@@ -14,9 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from calibra.llm.common import coded, hashed, ragged, word_lists  # noqa: F401
+from calibra.llm.common import ragged, word_lists
 
 IDS = np.dtype("<u4")
+#: No id: stands for cells that only the whole pattern can cut.
+ODD = 0xFFFFFFFF
+#: What may stand behind a word as a pre-token of its own.
+STOPS = frozenset(".,;:!?)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,42 +30,84 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Memo:
-    """Pieces and their ids, in two generations: what isn't asked for while `cap` / 2 new pieces come is forgotten. Pieces of
-    more than LONG characters are never kept, so the memo's size is bounded."""
+class Known:
+    """Strings and their ids, in arrays; what isn't known yet is asked for once in a call.
 
-    LONG = 256
-
-    def __init__(self, missing: Callable[[list[str]], Iterable[bytes]], cap: int = 600_000) -> None:
-        self.missing, self.half, self.new, self.old = missing, cap // 2, {}, {}
+    When more than `cap` strings or BYTES bytes are kept, the half used last stays; strings longer than LONG bytes go at the
+    next call, so the memo's size is bounded. `missing` takes distinct strings and gives all their ids in a row, and how
+    many each has.
+    """
 
-    def __call__(self, keys: list[str]) -> list[bytes]:
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        found = list(map(new.get, keys))
-        lacking = [k for k, x in zip(keys, found) if x is None]
-        if not lacking:
-            return found
-        got = list(map(old.get, lacking))
-        asked = [k for k, x in zip(lacking, got) if x is None]
-        if asked:
-            made = iter(self.missing(asked))
-            got = [next(made) if x is None else x for x in got]
-        if max(map(len, lacking)) <= self.LONG:
-            new.update(zip(lacking, got))
-        else:
-            new.update((k, x) for k, x in zip(lacking, got) if len(k) <= self.LONG)
-        rest = iter(got)
-        return [next(rest) if x is None else x for x in found]
-
-
-def gathered(codes: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a row of codes, and how many each code has."""
-    n = np.fromiter(map(len, found), np.int64, len(found)) // IDS.itemsize
-    flat = np.frombuffer(b"".join(found), IDS)
-    begin = np.cumsum(n) - n
-    return ragged(flat, begin[codes], n[codes]), n[codes]
+    LONG, BYTES = 1024, 48 << 20
+
+    def __init__(self, missing: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], cap: int = 500_000) -> None:
+        self.missing, self.cap, self.calls = missing, cap, 0
+        self.words, self.flat = pa.array([], pa.large_string()), np.empty(0, IDS)
+        self.n, self.size, self.used = (np.empty(0, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        if len(self.words) <= self.cap and self.size.sum() <= self.BYTES and (self.size <= self.LONG).all():
+            return
+        order = np.argsort(-self.used, kind="stable")
+        order = order[self.size[order] <= self.LONG]
+        if len(order) > self.cap or self.size[order].sum() > self.BYTES:
+            order = order[: self.cap // 2]
+            order = order[np.cumsum(self.size[order]) <= self.BYTES // 2]
+        keep = np.sort(order)
+        self.flat = ragged(self.flat, (np.cumsum(self.n) - self.n)[keep], self.n[keep])
+        self.words = self.words.take(pa.array(keep))
+        self.n, self.size, self.used = self.n[keep], self.size[keep], self.used[keep]
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in a row, and how many each has."""
+        self.forget()
+        self.calls += 1
+        had = len(self.words)
+        both = pa.concat_arrays([self.words, words.cast(pa.large_string())]).dictionary_encode()
+        codes = both.indices.to_numpy()[had:]
+        if len(both.dictionary) > had:
+            new = both.dictionary[had:]
+            flat, n = self.missing(new)
+            self.flat, self.n = np.concatenate([self.flat, flat]), np.concatenate([self.n, n])
+            self.size = np.concatenate([self.size, pc.binary_length(new).to_numpy()])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+            self.words = both.dictionary
+        self.used[codes] = self.calls
+        n = self.n[codes]
+        return ragged(self.flat, (np.cumsum(self.n) - self.n)[codes], n), n
+
+
+def in_a_row(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids given as bytes, and how many each has."""
+    return np.frombuffer(b"".join(found), IDS), np.fromiter(map(len, found), np.int64, len(found)) // IDS.itemsize
+
+
+def interleaved(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of `total` strings in their order, from groups of (places, ids in a row, how many each has)."""
+    begin, n, before = np.zeros(total, np.int64), np.zeros(total, np.int64), 0
+    for at, flat, own in groups:
+        begin[at], n[at] = before + np.cumsum(own) - own, own
+        before += len(flat)
+    return ragged(np.concatenate([g[1] for g in groups]), begin, n), n
+
+
+def summed(n: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Sums of n over runs of these sizes."""
+    return np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])])
+
+
+def letters_and_stop(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which words up to U+00FF are letters, which are letters and one stop, and all words without stops at their end."""
+    latin, body = pc.match_substring_regex(words, r"^[\x{0}-\x{ff}]*$"), pc.utf8_rtrim(words, characters="".join(sorted(STOPS)))
+    trimmed = pc.subtract(pc.binary_length(words), pc.binary_length(body)).to_numpy()
+    letters = pc.and_(latin, pc.utf8_is_alpha(body)).to_numpy(zero_copy_only=False)
+    return letters & (trimmed == 0), letters & (trimmed == 1), body
+
+
+def last_bytes(words: pa.Array) -> np.ndarray:
+    """The last byte of each of these large strings, none of which is empty."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 : words.offset + 1 + len(words)]
+    return np.frombuffer(words.buffers()[2], np.uint8)[ends - 1]
 
 
 def byte_symbols() -> dict[str, int]:
@@ -232,10 +278,10 @@ class ByteLevel:
     """
 
     SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    STOPS = frozenset(".,;:!?)")
 
-    def __init__(self, pieces: Callable[[list[str]], Iterable[bytes]], special: dict[str, int], cap: int = 600_000) -> None:
-        self.memo, self.parts, self.special = Memo(self.pieces, cap), Memo(pieces, cap), special
+    def __init__(self, pieces: Callable[[list[str]], Iterable[bytes]], special: dict[str, int], cap: int = 500_000) -> None:
+        self.memo, self.special = Known(self.pieces, cap), special
+        self.parts = Known(lambda words: in_a_row(list(pieces(words.to_pylist()))), cap)
         self.pattern = regex.compile(self.SPLIT)
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
@@ -248,68 +294,79 @@ class ByteLevel:
         odd = pc.or_(pc.not_equal(pc.binary_length(pc.utf8_trim_whitespace(body)), size), pc.and_(pc.equal(size, 0), pc.not_equal(keys, "\x02")))
         return odd.to_numpy(zero_copy_only=False)
 
-    def whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> np.ndarray:
         out = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
-                out.append(np.array([self.special[part]], IDS).tobytes())
+                out.append(np.array([self.special[part]], IDS))
             elif part:
-                out += self.parts(self.pattern.findall(part))
-        return b"".join(out)
-
-    def pieces(self, keys: list[str]) -> list[bytes]:
-        # a space and letters, or letters, are one pre-token, and a stop behind them is one more
-        cut: list[tuple | list] = []
-        for k in keys:
-            if not k or not (k[0] == " " or k[0].isalpha()):
-                cut.append(self.pattern.findall(k))
-            elif k[1:].isalpha():
-                cut.append((k,))
-            elif k[-1] in self.STOPS and k[1:-1].isalpha():
-                cut.append((k[:-1], k[-1]))
-            else:
-                cut.append(self.pattern.findall(k))
-        distinct = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
-        ids = dict(zip(distinct, self.parts(distinct), strict=True))
-        return [ids[c[0]] if len(c) == 1 else ids[c[0]] + ids[c[1]] if len(c) == 2 else b"".join(map(ids.__getitem__, c)) for c in cut]
+                out.append(self.parts(pa.array(self.pattern.findall(part), pa.large_string()))[0])
+        return np.concatenate(out) if out else np.empty(0, IDS)
 
-    def keys(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, each piece's key, where each text's pieces start, and which texts need the whole pattern."""
+    @staticmethod
+    def unmarked(cells: list[str]) -> list[str]:
+        return [k if k[:1] == "\n" else k[1:] if k[:1] == "\x02" else " " + k for k in cells]
+
+    def pieces(self, cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cells, and how many each has; an irregular cell has ODD alone. A space and letters are one pre-token, and a stop behind them is one more."""
+        plain, stopped, body = letters_and_stop(cells)
+        spaced = lambda x: pc.binary_join_element_wise(pa.scalar("", pa.large_string()), x, pa.scalar(" ", pa.large_string()))
+        simple = plain | stopped
+        marks = last_bytes(cells.filter(pa.array(stopped)))
+        rest = cells.filter(pa.array(~simple))
+        bad = self.irregular(rest)
+        other = [() if x else self.pattern.findall(k) for x, k in zip(bad.tolist(), self.unmarked(rest.to_pylist()))]
+        parts = pa.concat_arrays([spaced(body.filter(pa.array(simple))), pa.array(map(chr, marks.tolist()), pa.large_string()), pa.array(itertools.chain.from_iterable(other), pa.large_string())])
+        flat, n = self.parts(parts)
+        ends, (a, b) = np.concatenate([[0], np.cumsum(n)]), (int(simple.sum()), int(simple.sum()) + len(marks))
+        bodies, stops = flat[: ends[a]], flat[ends[a] : ends[b]]
+        own, behind = n[:a].copy(), n[a:b]
+        with_stop = stopped[simple]
+        bodies = np.insert(bodies, np.repeat(ends[1 : a + 1][with_stop], behind), stops)
+        own[with_stop] += behind
+        at, counts = np.flatnonzero(~simple), summed(n[b:], list(map(len, other)))
+        odd = np.full(int(bad.sum()), ODD, IDS)
+        return interleaved([(np.flatnonzero(simple), bodies, own), (at[~bad], flat[ends[b] :], counts[~bad]), (at[bad], odd, np.ones(len(odd), np.int64))], len(cells))
+
+    def cells(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """What spaces and line ends cut the texts into, where each text's cells start, and which texts need the whole
+        pattern for what they hold; those are cut as empty ones are."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring(texts, "\x02")
         for x in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, x))
-        odd = odd.to_numpy(zero_copy_only=False).copy()
+        texts = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
         marked = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\x02", pc.replace_substring(texts, "\n", " \n"), "")))
         lists = pc.split_pattern(marked, " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
-        starts -= starts[0]
-        cells = lists.flatten().dictionary_encode()
-        distinct, codes = cells.dictionary.to_pylist(), cells.indices.to_numpy().astype(np.int64)
-        bad = self.irregular(cells.dictionary)
+        return lists.flatten(), starts - starts[0], odd.to_numpy(zero_copy_only=False).copy()
+
+    def keys(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, each piece's key, where each text's pieces start, and which texts need the whole pattern."""
+        cells, starts, odd = self.cells(texts)
+        cells = cells.dictionary_encode()
+        codes, bad = cells.indices.to_numpy().astype(np.int64), self.irregular(cells.dictionary)
         if bad.any():
             odd |= np.add.reduceat(np.concatenate([bad[codes], [False]]).astype(np.int64), starts[:-1])[: len(odd)] > 0
-        return [k if k[:1] == "\n" else k[1:] if k[:1] == "\x02" else " " + k for k in distinct], codes, starts, odd
+        return self.unmarked(cells.dictionary.to_pylist()), codes, starts, odd
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's start (one entry more). Null and empty: none."""
         if not len(texts):
             return np.empty(0, IDS), np.zeros(1, np.int64)
-        keys, codes, starts, odd = self.keys(texts)
-        if odd.any():
-            keep = np.repeat(~odd, np.diff(starts))
-            used, codes = np.unique(codes[keep], return_inverse=True)
-            keys = [keys[i] for i in used]
-            starts = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(starts)))])
-        flat, n = gathered(codes, self.memo(keys))
+        cells, starts, odd = self.cells(texts)
+        flat, n = self.memo(cells)
         ends = np.concatenate([[0], np.cumsum(n)])[starts]
+        size, bad = np.diff(ends), flat == ODD
+        if bad.any():
+            odd[np.searchsorted(ends, np.flatnonzero(bad), side="right") - 1] = True
         if not odd.any():
             return flat, ends
-        out, at, size = [], 0, np.diff(ends)
+        out, at = [], 0
         for i in np.flatnonzero(odd):
-            own = np.frombuffer(self.whole(texts[int(i)].as_py()), IDS)
+            own = self.whole(texts[int(i)].as_py())
             out += [flat[at : ends[i]], own]
-            at, size[i] = ends[i], len(own)
+            at, size[i] = ends[i + 1], len(own)
         return np.concatenate([*out, flat[at:]]), np.concatenate([[0], np.cumsum(size)])
 
 
@@ -323,48 +380,50 @@ class WordLevel:
 
     SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
 
-    def __init__(self, path: str, cap: int = 600_000) -> None:
+    def __init__(self, path: str, cap: int = 500_000) -> None:
         self.library = _library(path)
         rules = json.load(open(path, encoding="utf-8"))
         self.special = [x["content"] for x in rules["added_tokens"]]
         self.ends = np.zeros(max(rules["model"]["vocab"].values()) + 64, bool)
         self.ends[[i for w, i in rules["model"]["vocab"].items() if w.endswith("</w>")]] = True
         self.pattern = regex.compile(self.SPLIT)
-        self.memo, self.parts = Memo(self.pieces, cap), Memo(self.joined, cap)
+        self.memo, self.parts = Known(self.pieces, cap), Known(self.joined, cap)
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return in_a_row([np.array(e.ids, IDS).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def joined(self, parts: list[str]) -> list[bytes]:
+    def joined(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = parts.to_pylist()
         ids = np.array(self.library.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, IDS)
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(parts):
-            return [np.array(e.ids, IDS).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-        raw, cuts = ids.tobytes(), [0, *(cuts * IDS.itemsize).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def pieces(self, keys: list[str]) -> list[bytes]:
-        plain = [k.isascii() or max(k) <= "\xff" for k in keys]
-        if any("<|" in k for k in keys):
-            plain = [p and not any(s in k.lower() for s in self.special) for p, k in zip(plain, keys)]
-        cut: list[tuple | list] = []
-        for p, k in zip(plain, keys):
-            if not p:
-                cut.append(())
-            elif k.isalpha():
-                cut.append((k.lower(),))
-            elif k[-1] in ByteLevel.STOPS and k[:-1].isalpha():
-                cut.append((k[:-1].lower(), k[-1]))
-            else:
-                cut.append(self.pattern.findall(k.lower()))
-        distinct = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
-        ids = dict(zip(distinct, self.parts(distinct), strict=True)) if distinct else {}
-        whole = iter(self.library.encode_batch_fast([k for p, k in zip(plain, keys) if not p], add_special_tokens=False))
-        return [np.array(next(whole).ids, IDS).tobytes() if not p else ids[c[0]] if len(c) == 1 else ids[c[0]] + ids[c[1]] if len(c) == 2 else b"".join(map(ids.__getitem__, c)) for p, c in zip(plain, cut)]
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(parts) else self.each(parts)
+
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has."""
+        plain, stopped, body = letters_and_stop(words)
+        simple = plain | stopped
+        marks = last_bytes(words.filter(pa.array(stopped)))
+        at, keys = np.flatnonzero(~simple), words.filter(pa.array(~simple)).to_pylist()
+        special = any("<|" in k for k in keys)
+        cut = np.array([max(k) <= "\xff" and not (special and any(x in k.lower() for x in self.special)) for k in keys], bool)
+        other = [self.pattern.findall(k.lower()) for k, x in zip(keys, cut.tolist()) if x]
+        parts = [pc.utf8_lower(body.filter(pa.array(simple))), pa.array(map(chr, marks.tolist()), pa.large_string()), pa.array(itertools.chain.from_iterable(other), pa.large_string())]
+        flat, n = self.parts(pa.concat_arrays(parts))
+        ends, a = np.concatenate([[0], np.cumsum(n)]), int(simple.sum())
+        b = a + len(marks)
+        own, behind, with_stop = n[:a].copy(), n[a:b], stopped[simple]
+        bodies = np.insert(flat[: ends[a]], np.repeat(ends[1 : a + 1][with_stop], behind), flat[ends[a] : ends[b]])
+        own[with_stop] += behind
+        groups = [(np.flatnonzero(simple), bodies, own), (at[cut], flat[ends[b] :], summed(n[b:], list(map(len, other))))]
+        if not cut.all():
+            groups.append((at[~cut], *self.each([k for k, x in zip(keys, cut.tolist()) if not x])))
+        return interleaved(groups, len(words))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words, starts = word_lists(texts)
         if not len(words):
             return np.empty(0, IDS), np.zeros(len(texts) + 1, np.int64)
-        distinct, codes = coded(words)
-        flat, n = gathered(codes, self.memo(distinct))
+        flat, n = self.memo(words)
         return flat, np.concatenate([[0], np.cumsum(n)])[starts]
 
 
