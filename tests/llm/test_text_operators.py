@@ -60,6 +60,20 @@ def test_ids_are_the_library_s(path, text):
     assert ids.tolist() == tokens._library(path).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_while_the_memo_forgets(path):
+    r, parts = random.Random(4), ["a", "Größe", "naïve", "µ", "ª", "²", "7", " ", "  ", "\n", "\t", "\x02", "<|endoftext|>", "'s", ".", ",", "?)", "...", "İ", "中", "\x85", "THE"]
+    texts = ["".join(r.choice(parts) + r.choice(["", "", " "]) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+    texts[70] = texts[1200] = "ab" * 2000
+    encode, lib = tokens.encoder.__wrapped__(path), tokens._library(path)
+    encode.memo.cap, encode.parts.cap = 300, 200
+    for at in range(0, len(texts), 250):
+        part = texts[at : at + 250]
+        ids, starts = encode(pa.array([*part, None]))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [e.ids for e in lib.encode_batch_fast([*part, ""], add_special_tokens=False)]
+        assert len(encode.memo.words) <= 300 + len(" ".join(part).split()) * 4
+
+
 def test_long_pieces_merge():
     text = "ab" * 3000 + " " + "\n" * 50 + "é" * 700
     assert tokens.encoder(BYTE)(pa.array([text]))[0].tolist() == tokens._library(BYTE).encode(text, add_special_tokens=False).ids
