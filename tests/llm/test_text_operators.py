@@ -409,6 +409,45 @@ def test_a_very_common_passage(spark):
     assert all(set(range(20 + i % 7, 80 + i % 7)) <= found[i] for i in range(1, 300)) and not found[0]
 
 
+def test_verbatim_passages_behind_other_holders(spark, monkeypatch):
+    """All seeds of a passage have other documents as first and as previous holder; they hold parts of it, too short for passages."""
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    p = words(60)
+    parts = [p[a : a + 49] for a in (0, 3, 6, 9, 11)]
+    rows = [(b + i, words(45) + x + words(45)) for b in (0, 20) for i, x in enumerate(parts)]
+    rows += [(10, words(70) + p + words(50)), (40, words(55) + p + words(60))]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    for step in (substring.STEP_SEEDS, 1):
+        monkeypatch.setattr(substring, "STEP_SEEDS", step)
+        found = [(x.doc_id, x.src_doc_id) for x in substring.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert (40, 10) in found
+        assert set(range(55, 115)) <= covered(spark, rows)[40]
+
+
+def test_documents_of_near_copies_have_few_spans(spark):
+    base, rows = prose(200, 70).split(), []
+    for i in range(80):
+        r, w = random.Random(i), list(base)
+        for at in r.sample(range(10, 190), 8):
+            w[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(w)))
+    found = substring.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) <= 2 * 79 and {x.doc_id for x in found} == set(range(1, 80))
+    every = covered(spark, rows)
+    assert all(len(every[i]) >= 195 for i in range(1, 80))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 15)), max_size=25))
+def test_fewest_spans_cover_the_same_words(cells):
+    spans = [(a, a + n, i, 0, 0, n, 1.0) for i, (a, n) in enumerate(cells)]
+    words = lambda found: {w for s in found for w in range(s[0], s[1])}
+    few = substring.fewest(spans)
+    assert words(few) == words(spans) and set(few) <= set(spans)
+    assert all(words(few) != words([y for y in few if y != x]) for x in few)
+
+
 def test_urls(spark):
     pages = [(1, "https://WWW.Example.com/en/77?x=1"), (2, "http://a.example.net/de/81"), (3, "http://example.net/de/1#t"), (4, "nothing"), (5, None), (6, "https://b.org/es/9"), (7, "https://notexample.com/en/7"), (8, "https://cheap-pills.shop.test/buy"), (9, "https://orchestra.test/en/3"), (10, "a\n://h/p"), (11, "https://com/en/"), (11, "https://com/en/")]
     df = spark.createDataFrame([(i, u, "h") for i, u in pages], "page_id long, url string, host string")
