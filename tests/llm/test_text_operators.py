@@ -572,3 +572,19 @@ def test_one_of_each(spark, docs, empty):
     found = sorted((str(r.doc_id), r.text or "") for r in jaccard.one_of_each(df).collect())
     assert found == sorted((str(i), t or "") for i, t in [(1, a), (1, b), (None, prose(90, 79)), (None, prose(90, 80)), (4, None), (4, None), (4, " "), (5, "one two")])
     assert jaccard.one_of_each(df).schema == df.schema and jaccard.one_of_each(empty).count() == 0
+
+
+def test_every_shingle_is_a_seed(spark):
+    words = [np.random.default_rng(i).integers(1, 1 << 60, n).astype(np.uint64) for i, n in enumerate((70, 20, 90))]
+    doc, at, _ = substring.seeds_of(np.concatenate(words), np.cumsum([0, *map(len, words)]), 34)
+    assert [(d, a // 2) for d, a in zip(doc, at) if a % 2 == 0] == [(d, a) for d, n in ((0, 70), (2, 90)) for a in range(n - 4)]
+    # passages whose common runs are of five words, one shingle each
+    r, rows, where = random.Random(21), [], {}
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    for i in range(300):
+        base, a, b = words(59), words(50), words(50)
+        p = [w if j % 6 != 5 else f"new{j}" for j, w in enumerate(base)]
+        rows += [(2 * i, " ".join(a + base + words(50))), (2 * i + 1, " ".join(b + p + words(50)))]
+        where[2 * i + 1] = set(range(50, 109))
+    found = covered(spark, rows)
+    assert all(len(found[i] & w) >= 50 for i, w in where.items())
